@@ -12,18 +12,19 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import measures
 from plumbline.functions.text import is_blank
 
 
-@F.pandas_udf("scale double, dim string")
+@F.pandas_udf(T.StructType([T.StructField("scale", T.DoubleType()), T.StructField("dim", T.StringType())]))
 def _basis(unit: pd.Series, desc: pd.Series) -> pd.DataFrame:
     got = [measures.price_basis(u, d) for u, d in zip(unit, desc)]
     return pd.DataFrame({"scale": [g and g[0] for g in got], "dim": [g and measures.DIMENSIONS[g[1].index(1)] for g in got]}, dtype="object").astype({"scale": "float64"})
 
 
-@F.pandas_udf("value double, dim array<int>")
+@F.pandas_udf(T.StructType([T.StructField("value", T.DoubleType()), T.StructField("dim", T.ArrayType(T.IntegerType()))]))
 def _canonical(value: pd.Series, unit: pd.Series) -> pd.DataFrame:
     units = [measures.parse_unit(measures.plain(u)) if u else None for u in unit]
     return pd.DataFrame(
