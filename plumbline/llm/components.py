@@ -2,15 +2,16 @@
 
 Every vertex draws an exponentially distributed head start. Clusters grow from all vertices at
 once, each delayed by what its head start lacks, and a vertex joins the cluster that reaches it
-first. Head starts are cut off at ``ROUNDS``, so clusters are at most that deep and exactly that
-many rounds of messages along the edges settle a level. Clusters are then contracted to
-super-vertices, parallel edges merge, and the edges between clusters are decomposed again until
-none is left; the assignments of all levels are composed at the end. Each level keeps a constant
-share of the vertices, so levels grow with the logarithm of their number and all levels together
-cost little more than the first.
-
+first; growth stops after ``ROUNDS`` rounds of messages along the edges, which bounds the radius.
+Clusters are then contracted to super-vertices, parallel edges merge, and the edges between
+clusters are decomposed again until none is left; the assignments of all levels are composed at
+the end. A level leaves about a quarter of the edges even of a single long chain, so levels grow
+with the logarithm of their number and all levels together cost little more than the first.
+
+Vertices are dense integers, and what a vertex knows is one integer, head start above, centre
+below, so every round is one join and one hash aggregation of integers with map-side combining.
 Nothing is gathered on the driver but row counts and the few vertices whose degree exceeds their
-share (at most 4 x partitions by construction), whose edges are salted over sub-keys.
+share (at most 8 x partitions by construction), whose edges are salted over sub-keys.
 """
 
 from __future__ import annotations
@@ -21,30 +22,34 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import is_blank, strip
 from plumbline.session import cut_lineage, shuffle_partitions
 
-#: Deepest cluster, and the rate of the head starts' distribution.
-ROUNDS, RATE = 4, 0.7
+#: Rounds that clusters grow, and the rate of the head starts' distribution.
+ROUNDS, RATE = 3, 0.15
+#: Bits of a vertex number, and of a head start's fraction of a round.
+_ID_BITS, _FRACTION_BITS = 42, 12
+_ROUND = 1 << (_ID_BITS + _FRACTION_BITS)
 #: Sub-keys of a vertex of very high degree, and the degree below which none is salted.
 SALTS, LEAST_HOT = 64, 20_000
 
 
-def _head_start(v: Column, level: int) -> Column:
-    uniform = (F.xxhash64(v, F.lit(level)).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(1)) / F.lit(float(1 << 52))
-    return F.least(-F.ln(uniform) / F.lit(RATE), F.lit(float(ROUNDS)))
+def _start(v: Column, level: int) -> Column:
+    """Head start and own number in one integer."""
+    # The level as text: a number would be part of the generated code, which is then compiled anew for every level.
+    uniform = (F.xxhash64(v, F.lit(str(level))).bitwiseAND(F.lit((1 << 32) - 1)) + F.lit(1)) / F.lit(float(1 << 32))
+    lead = F.floor(-F.ln(uniform) / F.lit(RATE) * F.lit(float(1 << _FRACTION_BITS))).cast("long")
+    return F.shiftleft(lead, _ID_BITS).bitwiseOR(v)
 
 
 def _decompose(edges: DataFrame, n_edges: int, level: int) -> DataFrame:
     """(v, center) for every vertex of the undirected edges (a < b)."""
     spark = edges.sparkSession
     arcs = edges.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*")
-    share = max(LEAST_HOT, n_edges // (4 * shuffle_partitions(spark)))
-    hot = None
+    hot: list[int] = []
     if n_edges > LEAST_HOT:
-        busy = arcs.groupBy("src").count().where(F.col("count") > share).select("src").collect()  # at most 8 x partitions
-        if busy:
-            hot = [r["src"] for r in busy]
-    state = arcs.groupBy(F.col("src").alias("v")).agg(F.lit(1).alias("one")).select("v", F.struct(_head_start(F.col("v"), level).alias("lead"), F.col("v").alias("center")).alias("best"))
+        share = max(LEAST_HOT, n_edges // (4 * shuffle_partitions(spark)))
+        hot = [r["src"] for r in arcs.groupBy("src").count().where(F.col("count") > share).select("src").collect()]
+    is_hot = lambda c: F.col(c).isin(hot) if hot else F.lit(False)
+    state = arcs.select(F.col("src").alias("v")).distinct().select("v", _start(F.col("v"), level).alias("best"))
     if hot:
-        is_hot = lambda c: F.col(c).isin(hot)
         arcs = arcs.withColumn("salt", F.when(is_hot("src"), F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")).otherwise(0))
     for _ in range(ROUNDS):
         if hot:
@@ -52,10 +57,21 @@ def _decompose(edges: DataFrame, n_edges: int, level: int) -> DataFrame:
             met = arcs.join(spread, (arcs["src"] == spread["v"]) & (arcs["salt"] == spread["salt"]))
         else:
             met = arcs.join(state, arcs["src"] == state["v"])
-        # A lead that is used up reaches nobody further.
-        sent = met.where("best.lead >= 1").select(F.col("dst").alias("v"), F.struct((F.col("best.lead") - 1).alias("lead"), F.col("best.center").alias("center")).alias("best"))
+        # A head start that is used up reaches nobody further.
+        sent = met.where(F.col("best") >= _ROUND).select(F.col("dst").alias("v"), (F.col("best") - _ROUND).alias("best"))
         state = state.unionByName(sent).groupBy("v").agg(F.max("best").alias("best"))
-    return state.select("v", F.col("best.center").alias("center"))
+    return state.select("v", F.col("best").bitwiseAND(F.lit((1 << _ID_BITS) - 1)).alias("center"))
+
+
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(name, v) with dense numbers v, and the edges in these numbers."""
+    names = edges.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    names = cut_lineage(names.select("name", F.monotonically_increasing_id().alias("raw")))
+    part = F.shiftright("raw", 33)
+    parts = (names.agg(F.max(part)).head()[0] or 0) + 1
+    names = names.select("name", (F.col("raw").bitwiseAND(F.lit((1 << 33) - 1)) * parts + part).alias("v"))
+    a, b = (names.select(F.col("name").alias(c), F.col("v").alias(f"v{c}")) for c in "ab")
+    return names, edges.join(a, "a").join(b, "b").select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b"))
 
 
 def connected_groups(links: DataFrame) -> DataFrame:
@@ -65,6 +81,7 @@ def connected_groups(links: DataFrame) -> DataFrame:
     count once; an empty table gives no rows. Strings are compared by code point.
     """
     edges = links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    names, edges = _numbered(cut_lineage(edges))
     edges = cut_lineage(edges)
     levels: list[DataFrame] = []
     while n := edges.count():
@@ -75,14 +92,14 @@ def connected_groups(links: DataFrame) -> DataFrame:
         between = edges.join(left, "a").join(right, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
         edges = cut_lineage(between.distinct())
     if not levels:
-        return edges.select(F.col("a").alias("v"), F.col("b").alias("group"))
+        return names.select(F.col("name").alias("v"), F.col("name").alias("group"))
     labels = levels[-1]
     for clusters in reversed(levels[:-1]):
         up = labels.select(F.col("v").alias("center"), F.col("center").alias("top"))
         labels = clusters.join(up, "center", "left").select("v", F.coalesce("top", "center").alias("center"))
-    labels = cut_lineage(labels) if len(levels) > 1 else labels
-    smallest = labels.groupBy("center").agg(F.min("v").alias("group"))
-    return labels.join(smallest, "center").select("v", "group")
+    named = cut_lineage(names.join(labels, "v").select("name", "center"))
+    smallest = named.groupBy("center").agg(F.min("name").alias("group"))
+    return named.join(smallest, "center").select(F.col("name").alias("v"), "group")
 
 
 def pair_links(dup_pair: DataFrame) -> DataFrame:
