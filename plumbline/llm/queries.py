@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.bpe import encode_documents
 from plumbline.llm.components import duplicate_groups
 from plumbline.llm.packing import containers
+from plumbline.llm.sentences import sentence_spans
 from plumbline.llm.survivors import material_claims, surviving
 from plumbline.llm.visual import same_to_the_eye
 from plumbline.sources.tables import table
@@ -42,6 +43,10 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return containers(table(spark, sf, "documents"))
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentence_spans(table(spark, sf, "documents")).distinct()
+
+
 SQL = {
     "p4_found": """
 WITH RECURSIVE l AS (
@@ -66,4 +71,4 @@ WHERE lower(trim(coalesce(v, ''))) NOT IN ('', '-', '--', '/', '?', 'n/a', 'tbd'
 QUALIFY row_number() OVER (PARTITION BY dup_group, field_name ORDER BY day DESC NULLS LAST, rank, code) = 1""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p7_found, p7_by_currency, p8_ids, p9_containers)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p7_found, p7_by_currency, p8_ids, p9_containers, p10_found)}
