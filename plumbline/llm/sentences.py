@@ -41,7 +41,7 @@ _GOES_ON = (
 #: Those that go on before a number or a label with digits. Fixed values.
 _BEFORE_NUMBER = "no nos nr qty p pp s ss ver v lot line item стр с п пп гл № т".split()
 #: Those that go on before a Chinese, Japanese or Korean character without a space. Fixed values.
-_BEFORE_CJK = "々〆〇ぁ-ゟ゠-ヿ㐀-䶿一-鿿\uf900-\ufaff가-힣".split()
+_BEFORE_CJK = "inc ltd co corp llc plc gmbh ag kg bros mfg int no nr etc e\ue000g i\ue000e".split()
 _MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember Jan Feb Mrz Apr Jun Jul Aug Sep Sept Okt Nov Dez".split()
 #: German words after which a number with a full stop is an ordinal. Fixed values.
 _BEFORE_ORDINAL = "der die das den dem des am im vom zum zur beim ab bis seit jeder jede jedes jedem jeden ein eine einer einen einem eines".split()
