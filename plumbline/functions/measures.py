@@ -137,12 +137,14 @@ def parse_unit(text: str, contents: dict[str, tuple[float, str]] | None = None,
     got = _term(text, 0, contents)
     if got is None:
         return None
-    unit, at = got
+    (unit, at), power = got, 1
     while m := _OPERATOR.match(text, at):
         nxt = _term(text, m.end(), contents)
         if nxt is None:
             break
-        unit, at = (unit * (nxt[0] ** -1 if m[1] in ("/", "per") else nxt[0])), nxt[1]
+        # What is joined by a dot stays below the line: W/m·K is W/(m·K).
+        power = -1 if m[1] in ("/", "per") else power
+        unit, at = unit * (Unit(nxt[0].scale**power, tuple(e * power for e in nxt[0].dim))), nxt[1]
     return unit if not whole or not text[at:].strip(" .") else None
 
 
