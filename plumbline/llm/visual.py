@@ -58,7 +58,6 @@ def _invisible(c: str) -> bool:
     )
 
 
-@lru_cache(maxsize=None)
 def looks_like(c: str) -> str:
     """What one code point looks like, fully decomposed; an empty string for an invisible one."""
     if _invisible(c):
@@ -145,13 +144,16 @@ def visual_forms(texts: DataFrame, text: str = "text") -> DataFrame:
     bases = mapped.select("id", "pos", "sub", "m", F.sum(F.when(follows, 0).otherwise(1)).over(in_text).alias("base"))
     # Marks in the order of their class, those of one class as written; the base is of class 0.
     ordered = bases.groupBy("id", "base").agg(F.array_sort(F.collect_list(F.struct("m.ccc", "pos", "sub", "m.c"))).alias("marks"))
-    # A Korean syllable is composed by itself where marks follow it.
+    # A Korean syllable is composed by itself, whatever marks follow it; any other base with its marks.
     head = F.filter("marks", lambda m: m["ccc"] == 0)
-    apart = ordered.select("id", "base", F.array_join("marks.c", "").alias("apart"), F.size("marks").alias("n"), "marks", F.array_join(head["c"], "").alias("head"), F.size(head).alias("n_head"))
-    heads = composed.select(F.col("apart").alias("head"), F.col("composed").alias("syllable"))
-    whole = apart.join(composed, "apart", "left").join(F.broadcast(heads), "head", "left")
-    korean = F.when(F.col("n_head") > 1, F.concat(F.coalesce("syllable", "head"), F.array_join(F.filter("marks", lambda m: m["ccc"] > 0)["c"], "")))
-    piece = F.coalesce("composed", korean, F.when(F.col("n") > 1, _compose_prefix(F.col("marks"))), F.col("apart"))
+    whole = ordered.select("id", "base", "marks", (F.size(head) > 1).alias("korean"), F.array_join(F.when(F.size(head) > 1, head).otherwise(F.col("marks"))["c"], "").alias("apart"))
+    whole = whole.join(composed, "apart", "left")
+    marks_behind = F.array_join(F.filter("marks", lambda m: m["ccc"] > 0)["c"], "")
+    piece = (
+        F.when(F.col("korean"), F.concat(F.coalesce("composed", "apart"), marks_behind))
+        .when(F.col("composed").isNotNull() | (F.size("marks") == 1), F.coalesce("composed", "apart"))
+        .otherwise(_compose_prefix(F.col("marks")))
+    )
     rebuilt = whole.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("base", piece.alias("s")))), lambda x: x["s"]), "").alias("form"))
     out = special.select("text", key.alias("id")).join(rebuilt, "id", "left").select("text", F.coalesce("form", F.lit("")).alias("form"))
     return plain.unionByName(out)
