@@ -24,3 +24,26 @@ def round2(c: Column) -> Column:
 def pct_change(old: Column, new: Column) -> Column:
     """(new - old) / old in percent; 0 where old is not above zero."""
     return F.when(old > 0, F.try_divide(new - old, old) * 100).otherwise(F.lit(0.0))
+
+
+def first_number(c: Column) -> Column:
+    """The first number anywhere in a text, rounded to two places; 万 behind it multiplies by 10,000. Null without one."""
+    s = F.regexp_replace(narrow_digits(c), r"[,\s]", "")
+    n = F.regexp_extract(s, r"(-?\d+(?:\.\d+)?)", 1).try_cast("double")
+    return round2(F.when(s.rlike(r"\d万"), n * 10000).otherwise(n))
+
+
+def strict_number(c: Column) -> Column:
+    """A text that is one number with proper thousands commas or none; anything else is null."""
+    s = F.trim(c)
+    return F.when(s.rlike(r"^[-+]?(\d{1,3}(,\d{3})+|\d+)(\.\d+)?$"), F.regexp_replace(s, ",", "").try_cast("double"))
+
+
+def open_quantity(known: Column, ordered: Column, done: Column) -> Column:
+    """The known open quantity, else what was ordered less what is done, at least 0; null if nothing was ordered."""
+    return F.coalesce(known, F.when(ordered.isNotNull(), F.greatest(F.lit(0.0), ordered - F.coalesce(done, F.lit(0.0)))))
+
+
+def price_in_text(c: Column) -> Column:
+    """The first amount with a currency sign or word behind it."""
+    return F.regexp_extract(c, r"(\d+(?:\.\d+)?)\s*(?:元|块|¥|￥)", 1).try_cast("double")

@@ -36,3 +36,57 @@ def is_unfilled(c: Column) -> Column:
     """Blank, or a placeholder."""
     bare = F.lower(F.regexp_replace(F.translate(c, "／－？＊．　", "/-?*. "), _EDGE, ""))
     return F.coalesce((bare == "") | bare.isin(*PLACEHOLDERS), F.lit(True))
+
+
+#: Signs that count as one and the same in names and descriptions, and what they become. Fixed values.
+_SIGNS_FROM, _SIGNS_TO = "（），：×—φø", "(),:x-ΦΦ"
+
+
+def plain_form(c: Column) -> Column:
+    """Lower case, trimmed, white space runs as one space, look-alike signs unified; null gives an empty text."""
+    s = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
+    return F.translate(s, _SIGNS_FROM, _SIGNS_TO)
+
+
+def bare_form(c: Column) -> Column:
+    """``plain_form`` without white space and punctuation; a decimal point between digits stays apart as DOT."""
+    dotted = F.regexp_replace(plain_form(c), r"(?<=\d)\.(?=\d)", "DOT")
+    return F.regexp_replace(dotted, r"[\s\p{Punct}、，。；：（）【】《》“”‘’·…—～]", "")
+
+
+def number_set(c: Column) -> Column:
+    """Distinct number strings of a text, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(\d+(?:\.\d+)?)"), 1)))
+
+
+def keyword_flag(text: Column, include: list[str], exclude: list[str]) -> Column:
+    """False if any excluded word occurs, else whether any included one does; letter case is ignored, null is false."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    has = lambda words: F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(t, w)) if words else F.lit(False)
+    return F.when(has(exclude), False).otherwise(has(include))
+
+
+def labelled(text: Column, *labels: str, least: int = 3, most: int = 499) -> Column:
+    """What follows the first of the labels that occurs on its line, white space collapsed, if its length is within bounds."""
+    found = None
+    for label in labels:
+        hit = F.trim(F.regexp_replace(F.regexp_extract(text, rf"(?m){label}\s*[:：]?[ \t]*([^\r\n]*)", 1), r"\s+", " "))
+        hit = F.when(F.length(hit).between(least, most), hit)
+        found = hit if found is None else F.coalesce(found, hit)
+    return found
+
+
+def labelled_counts(text: Column, labels: list[str]) -> Column:
+    """map(label -> integer that follows it); labels that do not occur are left out."""
+    pairs = F.map_from_arrays(F.array(*map(F.lit, labels)), F.array(*[F.regexp_extract(text, rf"{label}\s*[:：(（]?\s*(\d+)", 1).try_cast("int") for label in labels]))
+    return F.map_filter(pairs, lambda k, v: v.isNotNull())
+
+
+def first_match(patterns: list[tuple[Column, str]]) -> Column:
+    """The first non-empty match of (text, pattern with one group) in order."""
+    return F.coalesce(*[F.when(F.regexp_extract(t, p, 1) != "", F.regexp_extract(t, p, 1)) for t, p in patterns])
+
+
+def named_value(items: Column, name: str) -> Column:
+    """The value of the first struct(name, value) of an array with that name; null without one."""
+    return F.try_element_at(F.filter(items, lambda x: x["name"] == name), F.lit(1))["value"]

@@ -9,6 +9,7 @@ from plumbline.operators.intervals import price_coverage
 from plumbline.operators.orphans import material_orphans
 from plumbline.operators.snapshots import material_changes
 from plumbline.operators.units import price_per_common_unit, same_price_pairs
+from plumbline.plans.duck import day as duck_day
 from plumbline.sources.tables import table
 
 
@@ -52,18 +53,9 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return material_changes(table(spark, sf, "material_snapshot")).select("snapshot_date", "code", "change_kind")
 
 
-def _duck_day(column: str) -> str:
-    x = f"trim({column})"
-    return rf"""(CASE
-      WHEN regexp_full_match({x}, '\d{{1,2}}\.\d{{1,2}}\.\d{{4}}') THEN try_cast(regexp_replace({x}, '^(\d+)\.(\d+)\.(\d+)$', '\3-\2-\1') AS DATE)
-      WHEN regexp_matches({x}, '^\d{{4}}[-/.年]\d{{1,2}}[-/.月]\d{{1,2}}') THEN try_cast(regexp_extract(regexp_replace({x}, '[/.年月]', '-', 'g'), '^\d+-\d+-\d+') AS DATE)
-      WHEN regexp_full_match({x}, '\d{{8}}') THEN try_cast(regexp_replace({x}, '^(\d{{4}})(\d\d)(\d\d)$', '\1-\2-\3') AS DATE)
-      WHEN regexp_full_match({x}, '\d{{1,6}}') THEN DATE '1899-12-30' + CAST({x} AS INTEGER) END)"""
-
-
 _SPANS = f"""
 WITH r AS (
-  SELECT DISTINCT material_id, supplier_id, coalesce({_duck_day("price_valid_from")}, DATE '0001-01-01') AS lo, coalesce({_duck_day("price_valid_to")}, make_date(20000, 1, 1)) AS hi
+  SELECT DISTINCT material_id, supplier_id, coalesce({duck_day("price_valid_from")}, DATE '0001-01-01') AS lo, coalesce({duck_day("price_valid_to")}, make_date(20000, 1, 1)) AS hi
   FROM info_record WHERE trim(coalesce(material_id, '')) <> '' AND trim(coalesce(supplier_id, '')) <> ''
 ), o AS (
   SELECT *, max(hi) OVER (PARTITION BY material_id, supplier_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r WHERE lo <= hi
@@ -94,7 +86,7 @@ WHERE trim(coalesce(material_id, '')) <> '' AND NOT EXISTS (
   SELECT 1 FROM material m WHERE m.material_id = r.material_id AND m.landed_at <= r.landed_at AND (m.deleted_at IS NULL OR r.landed_at < m.deleted_at))""",
     "p6_found": f"""
 WITH x AS (
-  SELECT snapshot_date AS s, upper(regexp_replace(code, '^\\s+|\\s+$', '', 'g')) AS k, {_duck_day("modify_date")} AS d, regexp_extract(modify_date, ' (\\d+:\\d+:\\d+)', 1) AS t,
+  SELECT snapshot_date AS s, upper(regexp_replace(code, '^\\s+|\\s+$', '', 'g')) AS k, {duck_day("modify_date")} AS d, regexp_extract(modify_date, ' (\\d+:\\d+:\\d+)', 1) AS t,
     concat_ws('|', coalesce(name, ''), coalesce(mat_desc, ''), coalesce(cat, ''), coalesce(manufacturer, ''), coalesce(unit, ''), coalesce(lead_time, ''), coalesce(CAST(try_cast(price AS DOUBLE) AS VARCHAR), price, '')) AS h
   FROM material_snapshot),
 y AS (SELECT s, k, h, dense_rank() OVER (ORDER BY s) AS i FROM x QUALIFY row_number() OVER (PARTITION BY s, k ORDER BY d DESC NULLS LAST, t DESC) = 1),
