@@ -16,10 +16,13 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.session import cut_lineage
+
 #: Letters of other scripts and the Latin letters they look like. Fixed values.
 TWINS = {
     # Greek
@@ -83,38 +86,36 @@ def looks_like(c: str) -> str:
     return "".join(looks_like(chr(int(p, 16))) for p in parts)
 
 
+def _code_points():
+    return (chr(n) for n in range(_LAST) if not 0xD800 <= n < 0xE000 and n not in _CJK)
+
+
 @lru_cache(maxsize=1)
-def _mapping_rows() -> list[tuple[str, list[tuple[str, int]]]]:
+def _mapping() -> pa.Table:
     """(code point, [(code point, combining class)]) for every code point that changes or combines."""
-    rows = []
-    for n in range(_LAST):
-        if 0xD800 <= n < 0xE000 or n in _CJK:
-            continue
-        c = chr(n)
-        to = looks_like(c)
-        if to != c or unicodedata.combining(c):
-            rows.append((c, [(x, unicodedata.combining(x)) for x in to]))
-    return rows
+    ch, to = [], []
+    for c in _code_points():
+        looks = looks_like(c)
+        if looks != c or unicodedata.combining(c):
+            ch.append(c)
+            to.append([{"c": x, "ccc": unicodedata.combining(x)} for x in looks])
+    return pa.table({"ch": ch, "to": pa.array(to, pa.list_(pa.struct([("c", pa.string()), ("ccc", pa.int32())])))})
 
 
 @lru_cache(maxsize=1)
-def _composition_rows() -> list[tuple[str, str]]:
+def _compositions() -> pa.Table:
     """(base and marks in order, composed) for every composed character of Unicode, Hangul syllables included."""
-    rows = []
-    for n in range(_LAST):
-        if 0xD800 <= n < 0xE000 or n in _CJK:
-            continue
-        c = chr(n)
-        apart = unicodedata.normalize("NFD", c)
-        if apart != c and len(apart) > 1 and unicodedata.normalize("NFC", apart) == c:
-            rows.append((apart, c))
-    return rows
+    apart, composed = [], []
+    for c in _code_points():
+        nfd = unicodedata.normalize("NFD", c)
+        if nfd != c and len(nfd) > 1 and unicodedata.normalize("NFC", nfd) == c:
+            apart.append(nfd)
+            composed.append(c)
+    return pa.table({"apart": apart, "composed": composed})
 
 
 def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    mapping = spark.createDataFrame(_mapping_rows(), "ch string, to array<struct<c: string, ccc: int>>")
-    composed = spark.createDataFrame(_composition_rows(), "apart string, composed string")
-    return F.broadcast(mapping), F.broadcast(composed)
+    return F.broadcast(spark.createDataFrame(_mapping())), F.broadcast(spark.createDataFrame(_compositions()))
 
 
 #: Anything beyond printable ASCII and common Chinese characters; only such texts are exploded.
@@ -159,8 +160,9 @@ def visual_forms(texts: DataFrame, text: str = "text") -> DataFrame:
     return plain.unionByName(out)
 
 
-def _pairs() -> Column:
-    """A map from base + mark to the composed character, for the pairs of two code points that are not Hangul."""
+@lru_cache(maxsize=1)
+def _pairs() -> str:
+    """Base, mark and composed character of every pair of two code points that is not Hangul, each behind a separator."""
     pairs = []
     for n in range(_LAST):
         if 0xAC00 <= n <= 0xD7A3 or 0xD800 <= n < 0xE000 or n in _CJK:
@@ -168,20 +170,22 @@ def _pairs() -> Column:
         c = chr(n)
         form = unicodedata.decomposition(c)
         if form and not form.startswith("<") and " " in form and unicodedata.normalize("NFC", unicodedata.normalize("NFD", c)) == c:
-            pairs.append(("".join(chr(int(p, 16)) for p in form.split()), c))
-    return F.map_from_arrays(F.array(*[F.lit(a) for a, _ in pairs]), F.array(*[F.lit(b) for _, b in pairs]))
+            pairs.append("\x00" + "".join(chr(int(p, 16)) for p in form.split()) + c)
+    return "".join(pairs)
 
 
 def _compose_prefix(marks: Column) -> Column:
     """Base and sorted marks where no single character has them all: each mark that can is composed with the base.
 
-    A mark is blocked by an uncomposed one of its own class before it.
+    A mark is blocked by an uncomposed one of its own class before it. Only the few such clusters
+    are looked up, in one text that holds all pairs.
     """
-    pairs = _pairs()
+    pairs = F.lit(_pairs())
     start = F.struct(F.element_at(marks, 1)["c"].alias("base"), F.lit("").alias("rest"), F.lit(0).alias("last"))
 
     def add(acc: Column, m: Column) -> Column:
-        made = F.when((acc["rest"] == "") | (acc["last"] < m["ccc"]), F.try_element_at(pairs, F.concat(acc["base"], m["c"])))
+        at = F.instr(pairs, F.concat(F.lit("\x00"), acc["base"], m["c"]))
+        made = F.when(((acc["rest"] == "") | (acc["last"] < m["ccc"])) & (at > 0), F.substring(pairs, at + 3, F.lit(1)))
         return F.when(made.isNotNull(), F.struct(made.alias("base"), acc["rest"].alias("rest"), acc["last"].alias("last"))).otherwise(
             F.struct(acc["base"].alias("base"), F.concat(acc["rest"], m["c"]).alias("rest"), m["ccc"].alias("last"))
         )
@@ -199,11 +203,12 @@ def same_to_the_eye(rows: DataFrame, *, key: str, fields: tuple[str, ...]) -> Da
     """
     flat = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"f{i}") for i, f in enumerate(fields)]).distinct()
     names = [f"f{i}" for i in range(len(fields))]
-    forms = visual_forms(flat.select(F.explode(F.array(*names)).alias("text")))
+    # Both results are read several times below, so they are written once.
+    forms = cut_lineage(visual_forms(flat.select(F.explode(F.array(*names)).alias("text"))))
     for i, f in enumerate(names):
         flat = flat.join(forms.select(F.col("text").alias(f), F.col("form").alias(f"v{i}")), f)
     looks = [f"v{i}" for i in range(len(names))]
-    seen = flat.where(F.trim(F.concat(*looks)) != "").select("k", F.unhex(F.md5(F.to_json(F.struct(*looks)))).alias("look"), F.unhex(F.md5(F.to_json(F.struct(*names)))).alias("raw"))
+    seen = cut_lineage(flat.where(F.trim(F.concat(*looks)) != "").select("k", F.unhex(F.md5(F.to_json(F.struct(*looks)))).alias("look"), F.unhex(F.md5(F.to_json(F.struct(*names)))).alias("raw")))
     classes = seen.groupBy("look", "raw").agg(F.lit(1).alias("one")).drop("one")
     pairs = classes.alias("x").join(classes.alias("y"), F.expr("x.look = y.look and x.raw < y.raw")).select(F.col("x.look").alias("look"), F.col("x.raw").alias("raw_a"), F.col("y.raw").alias("raw_b"))
     a = seen.select("look", F.col("raw").alias("raw_a"), F.col("k").alias("ka"))
