@@ -45,7 +45,7 @@ def header_of(cells: list[str], fields: dict[str, tuple[str, ...]] = QUOTE_FIELD
     """Field -> column of a header row; it must name quantity and price, or price and amount."""
     at = {}
     for i, cell in enumerate(cells):
-        word = re.sub(r"[\s()（）\[\]]|[(（].*?[)）]", "", cell).lower()
+        word = re.sub(r"[(（\[].*?[)）\]]|\s", "", cell).lower()
         for field, words in fields.items():
             if word in words and field not in at:
                 at[field] = i

@@ -65,7 +65,7 @@ def strict_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "material").select("code", "price").distinct().select("code", strict_number(F.col("price")).alias("number")).where("number is not null")
 
 
-_D = "(SELECT doc_id, text FROM documents WHERE trim(coalesce(text, ''), e' \\t\\n\\r　 ') <> '')"
+_D = r"(SELECT doc_id, text FROM documents WHERE regexp_replace(text, '[\s\x{85}\x{A0}\x{AD}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{2064}\x{3000}\x{FEFF}]', '', 'g') <> '')"
 SQL = {
     "order_references": f"""SELECT doc_id, nullif(regexp_extract(text, 'PO[0-9]{{7}}'), '') AS first_order, len(regexp_extract_all(text, 'PO[0-9]{{7}}')) AS n_orders, len(list_distinct(regexp_extract_all(text, 'PO[0-9]{{7}}'))) AS n_distinct FROM {_D}""",
     "year_histogram": "SELECT left(create_time, 4) AS year, count(*) AS n FROM po_line WHERE regexp_matches(create_time, '^[0-9]{4}') GROUP BY 1",
