@@ -40,3 +40,11 @@ def time_of_day(c: Column) -> Column:
     s = strip(narrow_digits(c))
     hour = F.regexp_extract(s, r"[T ](\d{1,2}):\d{2}", 1)
     return F.when(hour != "", F.concat(F.lpad(hour, 2, "0"), F.regexp_extract(s, r"[T ]\d{1,2}(:\d{2}(?::\d{2})?)", 1))).otherwise(F.lit(""))
+
+
+def zone_millis(c: Column, zone: str = "Asia/Shanghai") -> Column:
+    """Epoch milliseconds of a wall-clock text in a zone, seconds optional; a number above 1e11 is taken as such."""
+    s = strip(c)
+    number = F.when(s.rlike(r"^\d{12,}$"), s.try_cast("long"))
+    local = F.coalesce(F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm")))
+    return F.coalesce(number, F.unix_millis(F.to_utc_timestamp(local, zone)))

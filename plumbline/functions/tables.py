@@ -91,6 +91,54 @@ def parse_table(text: str | None) -> Iterator[tuple]:
             yield (i, row["name"], row["unit"], row["qty"], row["price"], row["amount"])
 
 
+#: Patterns of the columns of a stock count, tried in order; the first that occurs in a header cell decides. Fixed values.
+STOCK_ROLES = (
+    ("code", r"编码|代码|料号|code"), ("name", r"名称|品名|name"), ("opening", r"期初|opening"), ("in_amount", r"入库金额"), ("in_qty", r"入库|inbound"), ("out_qty", r"出库|outbound"), ("diff_amount", r"(差异|盈亏)金额"),
+    ("book_qty", r"账面|book"), ("actual_qty", r"实盘|实存|actual"), ("diff_qty", r"差异|盈亏|diff"), ("price", r"单价|price"),
+)
+STOCK_NUMBERS = ("opening", "in_qty", "out_qty", "book_qty", "actual_qty", "diff_qty", "price", "in_amount", "diff_amount")
+
+
+def role_of(cell: str) -> str | None:
+    cell = re.sub(r"\s", "", cell)
+    return next((role for role, pattern in STOCK_ROLES if re.search(pattern, cell, re.I)), None)
+
+
+def amount(cell: str | None) -> float | None:
+    """A whole cell as number: currency signs, commas and 元 dropped, (x) is -x."""
+    c = re.sub(r"[¥￥,元\s]", "", cell or "")
+    c = re.sub(r"^\((.*)\)$", r"-\1", c)
+    return float(c) if re.fullmatch(r"[-+]?(\d+\.?\d*|\.\d+)", c) else None
+
+
+def parse_stock(text: str | None) -> Iterator[tuple]:
+    """(line, is_total, code, name, numbers...) of a stock count; the header is among the first ten lines, cells are split by tab, comma or white space."""
+    header = None
+    for i, line in enumerate((text or "").splitlines(), 1):
+        cells = [c.strip() for c in re.split("\t" if "\t" in line else "[,，]" if re.search("[,，]", line) else r"\s+", line.strip())] if line.strip() else []
+        if header is None:
+            roles = [role_of(c) for c in cells]
+            if i <= 10 and len({r for r in roles if r}) >= 3:
+                header = {r: k for k, r in reversed(list(enumerate(roles))) if r}
+            continue
+        if not cells:
+            continue
+        cell = lambda role: cells[header[role]] if role in header and header[role] < len(cells) else None  # noqa: B023, E731
+        total = any(re.fullmatch(r"合计|总计|小计|total", c, re.I) for c in cells[:2])
+        yield (i, total, cell("code"), cell("name"), *(amount(cell(r)) for r in STOCK_NUMBERS))
+
+
+STOCK_ROW = T.StructType([T.StructField("line", T.IntegerType()), T.StructField("is_total", T.BooleanType()), T.StructField("code", T.StringType()), T.StructField("name", T.StringType()), *(T.StructField(r, T.DoubleType()) for r in STOCK_NUMBERS)])
+
+
+@udtf(returnType=STOCK_ROW)
+class StockRows:
+    """Lateral table function over ``parse_stock``."""
+
+    def eval(self, text: str):
+        yield from parse_stock(text)
+
+
 TABLE_ROW = T.StructType(
     [T.StructField("line", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("unit", T.StringType()), *(T.StructField(f, T.DoubleType()) for f in ("qty", "price", "amount"))]
 )

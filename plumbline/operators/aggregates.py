@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import pct_change
+from plumbline.operators.windows import globally_ordered
 
 
 def stats(df: DataFrame, keys: Sequence[str], *, price: str, amount: str, qty: str) -> DataFrame:
@@ -51,14 +52,19 @@ def first_to_last(per_month: DataFrame, keys: Sequence[str], *, value: str = "av
 
 
 def running_share(ranked: DataFrame, *, amount: str, key: str, places: int = 2) -> DataFrame:
-    """Share of the total in percent and its running sum from the largest on, both rounded; the sum is that of the rounded shares.
+    """Rank, share of the total in percent and its running sum from the largest on, both rounded; the sum is that of the rounded shares.
 
-    Ranking is by one global order; ``ranked`` holds one row per key (suppliers), already aggregated.
+    Ordered in parallel by range: a task adds up its own range, and what the ranges before it
+    amount to comes from a table of one row per partition.
     """
-    total = ranked.agg(F.sum(amount).alias("__total"))
-    shared = ranked.join(F.broadcast(total)).withColumn("share_pct", F.round(F.when(F.col("__total") != 0, F.col(amount) / F.col("__total") * 100), places)).drop("__total")
-    order = W.orderBy(F.col(amount).desc_nulls_last(), F.col(key)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return shared.withColumn("running_pct", F.round(F.sum("share_pct").over(order), places)).withColumn("rank", F.row_number().over(W.orderBy(F.col(amount).desc_nulls_last(), F.col(key))))
+    ordered, offsets = globally_ordered(ranked, [F.col(amount).desc_nulls_last(), F.col(key)])
+    total = ordered.agg(F.sum(amount)).head()[0]
+    shared = ordered.withColumn("share_pct", F.round(F.col(amount) / F.lit(float(total)) * 100, places) if total else F.lit(None).cast("double"))
+    before = W.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    sums = shared.groupBy("__part").agg(F.sum("share_pct").alias("__s")).select("__part", F.coalesce(F.sum("__s").over(before), F.lit(0.0)).alias("__share"))
+    inside = W.partitionBy("__part").orderBy("__pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = shared.join(F.broadcast(offsets), "__part").join(F.broadcast(sums), "__part")
+    return out.withColumns({"running_pct": F.round(F.col("__share") + F.sum("share_pct").over(inside), places), "rank": F.col("__before") + F.col("__pos") + 1}).drop("__part", "__pos", "__before", "__share")
 
 
 def unpivoted(df: DataFrame, label: str = "metric", value: str = "value") -> DataFrame:

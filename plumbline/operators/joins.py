@@ -79,24 +79,29 @@ def companions(df: DataFrame, suffix: str = "_no") -> DataFrame:
     return df.withColumns({c[: -len(suffix)]: F.col(c) for c in df.columns if c.endswith(suffix) and c[: -len(suffix)] not in df.columns})
 
 
-def blocked_pairs(rows: DataFrame, *, block: Sequence[Column], key: str, differ: Column | None = None, same: Column | None = None) -> DataFrame:
-    """(key_a, key_b), smaller first: rows of one block with different keys.
-
-    ``same`` must be equal and ``differ`` different on both sides where given. Blocks with a null
-    part pair nothing. Rows are first reduced to distinct (block, key), so copies cost nothing.
+def block_classes(rows: DataFrame, *, block: Sequence[Column], key: str, differ: Column | None = None) -> DataFrame:
+    """(key, class_key, n_links): the class of each key that is linked with another one of its block.
+
+    All keys of a block are linked with each other, or with ``differ`` those whose value differs;
+    class_key is the block's smallest key and n_links counts a key's partners. Pairs are never
+    formed: blocks and their parts are counted by aggregates and joined back, so a block with a
+    third of all rows costs no more than its rows. Blocks with a null part link nothing; repeated
+    rows count once; a key with several values of ``differ`` counts with each.
     """
     usable = F.col(key).isNotNull()
     for c in block:
         usable = usable & c.isNotNull()
-    flat = rows.where(usable).select(
-        F.struct(*[c.alias(f"b{i}") for i, c in enumerate(block)]).alias("b"), F.col(key).alias("k"), (same if same is not None else F.lit(0)).alias("same"), (differ if differ is not None else F.lit(0)).alias("differ")
-    ).distinct()
-    x, y = flat.alias("x"), flat.alias("y")
-    on = F.expr("x.b = y.b and x.same = y.same and x.k < y.k")
-    pairs = x.join(y, on)
-    if differ is not None:
-        pairs = pairs.where("x.differ <> y.differ")
-    return pairs.select(F.col("x.k").alias("key_a"), F.col("y.k").alias("key_b")).distinct()
+    value = differ if differ is not None else F.lit(0)
+    names = [f"b{i}" for i in range(len(block))]
+    flat = rows.where(usable).select(*[c.alias(n) for c, n in zip(block, names)], F.col(key).alias("k"), value.alias("v")).distinct()
+    whole = flat.groupBy(*names).agg(F.count("*").alias("n"), F.min("k").alias("class_key"))
+    linked = flat.join(whole.where("n > 1"), names)
+    if differ is None:
+        linked = linked.withColumn("n_links", F.col("n") - 1)
+    else:
+        own = flat.groupBy(*names, "v").agg(F.count("*").alias("n_own"))
+        linked = linked.join(own, [*names, "v"]).withColumn("n_links", F.col("n") - F.col("n_own"))
+    return linked.where("n_links > 0").select(F.col("k").alias("key"), "class_key", "n_links").distinct()
 
 
 def full_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

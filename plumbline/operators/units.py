@@ -25,11 +25,11 @@ def _basis(unit: pd.Series, desc: pd.Series) -> pd.DataFrame:
 
 
 @F.pandas_udf(T.StructType([T.StructField("value", T.DoubleType()), T.StructField("dim", T.ArrayType(T.IntegerType()))]))
-def _canonical(value: pd.Series, unit: pd.Series) -> pd.DataFrame:
+def canonical_udf(value: pd.Series, unit: pd.Series) -> pd.DataFrame:
     units = [measures.parse_unit(measures.plain(u)) if u else None for u in unit]
     return pd.DataFrame(
         {
-            "value": pd.Series([u.to_canonical(v) if u and v == v and v is not None else None for v, u in zip(value, units)], dtype="float64"),
+            "value": pd.Series([u.to_canonical(float(v)) if u and v is not None and v == v else None for v, u in zip(value, units)], dtype="float64"),
             "dim": [list(u.dim) if u else None for u in units],
         }
     )
@@ -37,7 +37,7 @@ def _canonical(value: pd.Series, unit: pd.Series) -> pd.DataFrame:
 
 def to_canonical(value: Column, unit: Column) -> Column:
     """struct(value, dim): a quantity in the canonical unit of its dimension; nulls where the unit is unknown or null."""
-    return _canonical(value.cast("double"), unit.cast("string"))
+    return canonical_udf(value.cast("double"), unit.cast("string"))
 
 
 def price_per_common_unit(records: DataFrame) -> DataFrame:

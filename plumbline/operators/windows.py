@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.operators.joins import last_per_key
+from plumbline.session import cut_lineage
 
 
 def merge_last(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -40,10 +41,28 @@ def capped_sections(df: DataFrame, section: str, order: Sequence[Column], cap: i
     return out.join(sizes, section)
 
 
+def globally_ordered(df: DataFrame, order: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """The rows with their sorted partition ``__part`` and position ``__pos`` in it, and the rows per partition before each.
+
+    Sorted by range in parallel and written once; no task sees more than its range, and the second
+    table has one row per partition.
+    """
+    ordered = cut_lineage(df.orderBy(*order).withColumn("__raw", F.monotonically_increasing_id()))
+    ordered = ordered.withColumns({"__part": F.shiftright("__raw", 33), "__pos": F.col("__raw").bitwiseAND(F.lit((1 << 33) - 1))}).drop("__raw")
+    parts = ordered.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = W.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    return ordered, parts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "n") -> DataFrame:
+    """Rows numbered from 1 in a global order; ``order`` must be unique for a defined result."""
+    ordered, offsets = globally_ordered(df, order)
+    return ordered.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__pos") + 1).drop("__part", "__pos", "__before")
+
+
 def pair_labels(pairs: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Pairs numbered from 1 in order, with the labels A-n and B-n."""
-    n = F.row_number().over(W.orderBy(*order))
-    return pairs.withColumn("n", n).withColumns({"label_a": F.concat(F.lit("A-"), F.col("n")), "label_b": F.concat(F.lit("B-"), F.col("n"))})
+    return numbered(pairs, order).withColumns({"label_a": F.concat(F.lit("A-"), F.col("n")), "label_b": F.concat(F.lit("B-"), F.col("n"))})
 
 
 def latest_effective(records: DataFrame, keys: Sequence[str], *, price: str, start: Column, end: Column, created: Column, today: Column, tie: str) -> DataFrame:
@@ -69,7 +88,10 @@ def greedy_pairs(rows: DataFrame, passes: Sequence[Sequence[Column]], *, key: st
             usable = usable & c.isNotNull() & (c.cast("string") != "")
         names = [f"__g{j}" for j in range(len(columns))]
         grouped = left.where(usable).select(F.col(key).alias("__k"), *[c.alias(n) for c, n in zip(columns, names)])
-        ranked = grouped.withColumn("__r", F.row_number().over(W.partitionBy(*names).orderBy("__k")) - 1).withColumn("__p", F.floor(F.col("__r") / 2))
+        # A row's rank in its group is its place in a global order less that of the group's first row.
+        placed = numbered(grouped, [*map(F.col, names), F.col("__k")], "__n")
+        first = placed.groupBy(*names).agg(F.min("__n").alias("__first"))
+        ranked = placed.join(first, names).withColumn("__p", F.floor((F.col("__n") - F.col("__first")) / 2))
         pairs = ranked.groupBy(*names, "__p").agg(F.min("__k").alias("key_a"), F.max("__k").alias("key_b"), F.count("*").alias("n")).where("n = 2").select("key_a", "key_b", F.lit(i + 1).alias("pass"))
         used = pairs.select(F.explode(F.array("key_a", "key_b")).alias(key))
         left = left.join(used, key, "left_anti")

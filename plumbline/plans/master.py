@@ -10,7 +10,7 @@ from plumbline.functions.text import bare_form, is_blank, is_unfilled, keyword_f
 from plumbline.operators import aggregates as A
 from plumbline.operators import checks as C
 from plumbline.operators import rules as R
-from plumbline.operators.joins import blocked_pairs, companions, first_filled, first_per_key, full_diff, longer_list, lookup_code, with_lines
+from plumbline.operators.joins import block_classes, companions, first_filled, first_per_key, full_diff, longer_list, lookup_code, with_lines
 from plumbline.operators.sets import character_overlap, clean_values, requested_and_found, symmetric_difference, union_distinct
 from plumbline.operators.windows import greedy_pairs, latest_effective, merge_last, pair_labels, repeats_of_first
 from plumbline.plans.duck import day as duck_day
@@ -113,17 +113,21 @@ def bare_descriptions(spark: SparkSession, sf: str) -> DataFrame:
     return _described(spark, sf).select("code", bare_form(F.col("mat_desc")).alias("bare_desc"))
 
 
-def same_name_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of codes with equal category, name and numbers and equal bare description."""
-    d = _described(spark, sf)
-    return blocked_pairs(d, block=[F.col("cat"), F.col("subcat"), plain_form(F.col("name")), bare_form(F.col("mat_desc"))], key="code", same=number_set(F.concat_ws(" ", "mat_desc", "name")))
+def same_name_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Classes of codes with equal category, name, numbers and bare description: each code's class and number of partners."""
+    numbers = F.array_join(number_set(F.concat_ws(" ", "mat_desc", "name")), ",")
+    return block_classes(_described(spark, sf), block=[F.col("cat"), F.col("subcat"), plain_form(F.col("name")), bare_form(F.col("mat_desc")), numbers], key="code")
+
+
+def same_desc_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Classes of codes with equal category and bare description, and of each code how many partners have another name."""
+    return block_classes(_described(spark, sf), block=[F.col("cat"), F.col("subcat"), bare_form(F.col("mat_desc"))], key="code", differ=plain_form(F.col("name")))
 
 
-def same_desc_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of codes with equal category and bare description whose names differ, without those found by name."""
+def same_text_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Classes of codes with equal category and description as written, and of each how many partners have another name."""
     d = _described(spark, sf)
-    found = blocked_pairs(d, block=[F.col("cat"), F.col("subcat"), bare_form(F.col("mat_desc"))], key="code", differ=plain_form(F.col("name")))
-    return found.join(same_name_pairs(spark, sf), ["key_a", "key_b"], "left_anti")
+    return block_classes(d, block=[F.col("cat"), F.col("subcat"), F.col("mat_desc")], key="code", differ=F.coalesce("name", F.lit("")))
 
 
 def one_to_one_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -254,6 +258,9 @@ SQL = {
       x AS (SELECT min(code) AS key_a, max(code) AS key_b, 1 AS pass FROM p GROUP BY name, manufacturer, g HAVING count(*) = 2),
       q AS (SELECT code, name, cat, (row_number() OVER (PARTITION BY name, cat ORDER BY code) - 1) // 2 AS g FROM d WHERE name <> '' AND cat <> '' AND code NOT IN (SELECT key_a FROM x UNION SELECT key_b FROM x))
       SELECT * FROM x UNION ALL SELECT min(code), max(code), 2 FROM q GROUP BY name, cat, g HAVING count(*) = 2""",
+    "same_text_classes": """WITH d AS (SELECT DISTINCT cat, subcat, mat_desc, code, coalesce(name, '') AS v FROM material WHERE cat IS NOT NULL AND subcat IS NOT NULL AND mat_desc IS NOT NULL AND code IS NOT NULL),
+      n AS (SELECT code AS key, min(code) OVER b AS class_key, count(*) OVER b - count(*) OVER (PARTITION BY cat, subcat, mat_desc, v) AS n_links FROM d WINDOW b AS (PARTITION BY cat, subcat, mat_desc))
+      SELECT DISTINCT key, class_key, n_links FROM n WHERE n_links > 0""",
     "text_forms": f"SELECT DISTINCT code, {_PLAIN.format(c='name')} AS plain_name, array_to_string({_NUMS}, ',') AS numbers FROM (SELECT DISTINCT code, cat, subcat, name, mat_desc, manufacturer, unit, lead_time FROM material)",
     "pair_sheet": """WITH p AS (SELECT pair_no, left(mark, 1) AS s, min((coalesce(code, ''), coalesce(name, ''), coalesce(mat_desc, ''), coalesce(cat, ''))) AS x FROM dup_pair WHERE pair_no IS NOT NULL GROUP BY ALL),
       j AS (SELECT a.pair_no, a.x AS a, b.x AS b, row_number() OVER (ORDER BY a.pair_no) AS n FROM p a JOIN p b ON a.pair_no = b.pair_no AND a.s = 'A' AND b.s = 'B')
@@ -272,4 +279,4 @@ SQL = {
 SQL["run_diff_totals"] = f"SELECT left(code, 1) AS initial, state, count(*) AS n FROM ({SQL['run_diff']}) GROUP BY ROLLUP (left(code, 1), state)"
 SQL["line_verdict"] = f"SELECT count(*) FILTER (level = 'P0') AS p0, count(*) FILTER (level = 'P1') AS p1, 0 AS p2, CASE WHEN count(*) FILTER (level = 'P0') > 0 THEN 'mismatch' WHEN count(*) > 0 THEN 'incomplete' ELSE 'consistent' END AS verdict FROM ({SQL['line_findings']})"
 
-QUERIES = {f.__name__: f for f in (latest_effective_price, price_index, no_effective_price, paid_against_record, quantity_signal, dedup_first, dedup_last, later_repeats, order_items, unit_names, text_forms, bare_descriptions, same_name_pairs, same_desc_pairs, one_to_one_pairs, pair_sheet, pair_reasons, pair_similarity, run_diff, run_diff_totals, all_material_ids, requested_ids, merged_records, keyword_materials, line_findings, line_verdict, blank_cells)}
+QUERIES = {f.__name__: f for f in (latest_effective_price, price_index, no_effective_price, paid_against_record, quantity_signal, dedup_first, dedup_last, later_repeats, order_items, unit_names, text_forms, bare_descriptions, same_name_classes, same_desc_classes, same_text_classes, one_to_one_pairs, pair_sheet, pair_reasons, pair_similarity, run_diff, run_diff_totals, all_material_ids, requested_ids, merged_records, keyword_materials, line_findings, line_verdict, blank_cells)}

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import first_number, price_in_text, strict_number
-from plumbline.functions.tables import TableRows
+from plumbline.functions.tables import StockRows, TableRows
 from plumbline.functions.text import first_match, is_blank, labelled, labelled_counts, named_value
 from plumbline.operators.aggregates import histogram
+from plumbline.operators.checks import row_findings
 from plumbline.sources.tables import table
 
 
@@ -60,6 +61,31 @@ def pasted_tables(spark: SparkSession, sf: str) -> DataFrame:
     return t.lateralJoin(TableRows(F.col("text").outer())).select("order_no", "line", "name", "unit", "qty", "price", "amount")
 
 
+def _counts_as_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The stock of each plant as pasted stock counts, one for every hundred material numbers, with a totals line; every tenth row's difference is misstated by one."""
+    s = table(spark, sf, "available_stock").where(~is_blank(F.col("material_id")) & (F.col("available_qty") >= 0) & F.col("plant_no").isNotNull()).select("row_id", F.concat("plant_no", F.lit("/"), F.substring("material_id", 1, 8)).alias("sheet"), "material_id", F.round("available_qty", 1).alias("q")).distinct()
+    n = lambda c: F.format_string("%.1f", c)
+    diff = F.when(F.col("row_id") % 10 == 0, 1.0).otherwise(0.0)
+    row = F.concat_ws("\t", "material_id", F.lit("x"), n(F.col("q")), n(F.lit(5.0)), n(F.lit(2.0)), n(F.col("q") + 3), n(F.col("q") + 3), n(diff))
+    rows = s.groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("row_id", row.alias("t")))).alias("r"), n(F.sum("q")).alias("opening"))
+    head = F.lit("盘点表\n物料编码\t名称\t期初数量\t入库数量\t出库数量\t账面数量\t实盘数量\t差异数量\n")
+    return rows.select("sheet", F.concat(head, F.array_join(F.col("r.t"), "\n"), F.lit("\n合计\t\t"), "opening").alias("text"))
+
+
+def stock_count_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of pasted stock counts whose book or difference quantity does not follow from the others."""
+    rows = _counts_as_text(spark, sf).lateralJoin(StockRows(F.col("text").outer())).where("not is_total")
+    book = F.col("opening") + F.col("in_qty") - F.col("out_qty")
+    equations = [("book", book, F.col("book_qty"), 0.005), ("difference", F.col("actual_qty") - F.col("book_qty"), F.col("diff_qty"), 0.005)]
+    return row_findings(rows, row=F.concat_ws("/", "sheet", "code"), required=["opening", "book_qty", "actual_qty"], equations=equations).groupBy("level", "category", "row_ref").agg(F.count("*").alias("n"))
+
+
+def stock_count_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Stated total and sum of the opening quantities of each pasted stock count."""
+    rows = _counts_as_text(spark, sf).lateralJoin(StockRows(F.col("text").outer()))
+    return rows.groupBy("sheet").agg(F.round(F.sum(F.when(~F.col("is_total"), F.col("opening"))), 1).alias("summed"), F.round(F.max(F.when(F.col("is_total"), F.col("opening"))), 1).alias("stated"))
+
+
 def strict_numbers(spark: SparkSession, sf: str) -> DataFrame:
     """Prices of the master that are one number and nothing else."""
     return table(spark, sf, "material").select("code", "price").distinct().select("code", strict_number(F.col("price")).alias("number")).where("number is not null")
@@ -72,6 +98,10 @@ SQL = {
     "form_values": "SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS type, NULL AS missing FROM events",
     "pasted_tables": """WITH l AS (SELECT DISTINCT order_no, row_id, mat_code, qty, price_ex_tax, total_ex_tax FROM po_line WHERE order_no IS NOT NULL AND mat_code IS NOT NULL AND qty IS NOT NULL AND price_ex_tax IS NOT NULL AND total_ex_tax IS NOT NULL AND qty >= 1 AND price_ex_tax >= 0.01)
       SELECT order_no, CAST(1 + row_number() OVER (PARTITION BY order_no ORDER BY row_id, mat_code) AS INT) AS line, mat_code AS name, '个' AS unit, CAST(printf('%.4f', qty) AS DOUBLE) AS qty, CAST(printf('%.4f', price_ex_tax) AS DOUBLE) AS price, CAST(printf('%.4f', total_ex_tax) AS DOUBLE) AS amount FROM l""",
+    "stock_count_findings": """SELECT 'P0' AS level, 'difference' AS category, plant_no || '/' || left(material_id, 8) || '/' || material_id AS row_ref, count(*) AS n
+      FROM (SELECT DISTINCT row_id, plant_no, material_id, round(available_qty, 1) AS q FROM available_stock WHERE trim(coalesce(material_id, '')) <> '' AND available_qty >= 0 AND plant_no IS NOT NULL) WHERE row_id % 10 = 0 GROUP BY ALL""",
+    "stock_count_totals": """SELECT plant_no || '/' || left(material_id, 8) AS sheet, round(sum(q), 1) AS summed, round(sum(q), 1) AS stated
+      FROM (SELECT DISTINCT row_id, plant_no, material_id, round(available_qty, 1) AS q FROM available_stock WHERE trim(coalesce(material_id, '')) <> '' AND available_qty >= 0 AND plant_no IS NOT NULL) GROUP BY 1""",
     "strict_numbers": r"SELECT code, CAST(replace(trim(price), ',', '') AS DOUBLE) AS number FROM (SELECT DISTINCT code, price FROM material) WHERE regexp_full_match(trim(price), '[-+]?(\d{1,3}(,\d{3})+|\d+)(\.\d+)?')",
 }
-QUERIES = {f.__name__: f for f in (order_references, amounts_in_text, labelled_values, year_histogram, form_values, pasted_tables, strict_numbers)}
+QUERIES = {f.__name__: f for f in (order_references, amounts_in_text, labelled_values, year_histogram, form_values, pasted_tables, stock_count_findings, stock_count_totals, strict_numbers)}

@@ -124,3 +124,70 @@ def merged_chunks(pages: DataFrame, key: str = "$.id") -> DataFrame:
     """Rows of several scans by their key: the last in the order of page and position wins."""
     keyed = pages.withColumn("key", F.get_json_object("item", key))
     return keyed.groupBy("key").agg(F.max_by("item", F.struct("page", "ordinal")).alias("item"), F.min(F.struct("page", "ordinal")).alias("first"))
+
+
+def scan_slices(
+    spark: SparkSession, fetch: Callable[[int, int], list[dict]], start_ms: int, end_ms: int, *, slice_ms: int = 43_200_000, overlap_ms: int = 600_000, full: int = 20, max_depth: int = 10, id_key: str = "id"
+) -> DataFrame:
+    """(id, item, incomplete) of a service that lists by time and returns at most ``full`` rows a call.
+
+    The span is cut into slices that reach back by ``overlap_ms``; a full answer halves its slice,
+    up to ``max_depth`` times, beyond which the slice's rows are marked incomplete. Slices run in
+    parallel, every id comes out once.
+    """
+
+    def call(a: int, b: int, depth: int) -> Iterator[tuple[dict, bool]]:
+        rows = fetch(a, b)
+        if len(rows) >= full and depth < max_depth and b - a > 1:
+            middle = (a + b) // 2
+            yield from call(a, middle, depth + 1)
+            yield from call(middle, b, depth + 1)
+        else:
+            for r in rows:
+                yield r, len(rows) >= full
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for s in pdf["id"].tolist():
+                a = start_ms + s * slice_ms
+                got = list(call(max(start_ms, a - overlap_ms), min(end_ms, a + slice_ms), 0))
+                yield pd.DataFrame({"id": [str(r[id_key]) for r, _ in got], "item": [json.dumps(r, ensure_ascii=False) for r, _ in got], "incomplete": [x for _, x in got]}).astype({"incomplete": "bool"})
+
+    n = max(0, -(-(end_ms - start_ms) // slice_ms))
+    got = spark.range(0, n, 1, max(1, n)).mapInPandas(run, "id string, item string, incomplete boolean")
+    return got.groupBy("id").agg(F.max("item").alias("item"), F.bool_and("incomplete").alias("incomplete"))
+
+
+def scan_cursor(spark: SparkSession, fetch: Callable[[str | None], tuple[list[dict], str | None]], max_calls: int = 1000) -> DataFrame:
+    """(call, item) of a service that hands on a cursor; calls follow one another in one task that yields as it reads."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            cursor = None
+            for n in range(max_calls):
+                rows, cursor = fetch(cursor)
+                yield pd.DataFrame({"call": [n] * len(rows), "item": [json.dumps(r, ensure_ascii=False) for r in rows]}).astype({"call": "int64"})
+                if not cursor:
+                    break
+
+    return spark.range(1).coalesce(1).mapInPandas(run, "call long, item string")
+
+
+def fetch_details(ids: DataFrame, fetch: Callable[[str], object], *, id: str, threads: int = 8) -> DataFrame:
+    """(id, item, error): one call per id, ``threads`` at a time in each task; a failed call gives its error and stops nothing."""
+
+    def one(key: str) -> tuple[str | None, str | None]:
+        try:
+            return json.dumps(fetch(key), ensure_ascii=False), None
+        except Exception as e:  # noqa: BLE001 - any failure of one call is that row's result
+            return None, f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(threads) as pool:
+            for pdf in batches:
+                got = list(pool.map(one, pdf["id"].tolist()))
+                yield pd.DataFrame({"id": pdf["id"], "item": [g[0] for g in got], "error": [g[1] for g in got]})
+
+    return ids.select(F.col(id).cast("string").alias("id")).where("id is not null").mapInPandas(run, "id string, item string, error string")

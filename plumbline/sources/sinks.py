@@ -72,3 +72,16 @@ def append_log(rows: DataFrame, folder: str) -> None:
 def newest(log: DataFrame, by: str, n: int) -> DataFrame:
     """The newest n records of a log."""
     return log.orderBy(F.col(by).desc()).limit(n)
+
+
+def html_report(lines: DataFrame, section: str, title: str) -> str:
+    """A page of capped sections (see ``report_lines``); only what the caps let through reaches the driver."""
+    from html import escape
+
+    out, last = [f"<h1>{escape(title)}</h1>"], None
+    for r in lines.orderBy(section, "position").collect():
+        if r[section] != last:
+            last = r[section]
+            out.append(f"<h2>{escape(str(last))}</h2>")
+        out.append(f"<p>{escape(r['line'] or '')}</p>")
+    return "\n".join(out)

@@ -4,14 +4,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import first_number, open_quantity, parse_number, pct_change, price_in_text, round2, strict_number
-from plumbline.functions.tables import header_of, parse_table, split_row, tail_numbers
+from plumbline.functions import records
+from plumbline.functions.dates import zone_millis
+from plumbline.functions.register import register
+from plumbline.functions.tables import amount, header_of, parse_stock, parse_table, role_of, split_row, tail_numbers
 from plumbline.functions.text import bare_form, first_match, keyword_flag, labelled, labelled_counts, named_value, number_set, plain_form
 from plumbline.operators import aggregates as A
 from plumbline.operators import checks as C
 from plumbline.operators import rules as R
 from plumbline.operators import sets as S
 from plumbline.operators import windows as W
-from plumbline.operators.joins import blocked_pairs, first_filled, first_per_key, full_diff, longer_list, lookup_code, orphan_join, recomputed, with_lines
+from plumbline.operators.joins import block_classes, first_filled, first_per_key, full_diff, longer_list, lookup_code, orphan_join, recomputed, with_lines
 
 
 def values(df, *columns):
@@ -79,8 +82,9 @@ def test_lookup_and_lines(spark):
 
 def test_pairs_and_runs(spark):
     m = spark.createDataFrame([("1", "x", "d"), ("2", "x", "d"), ("3", "x", "e"), ("4", "y", "d"), ("5", None, "d"), ("2", "x", "d")], "code string, name string, dsc string")
-    assert sorted(values(blocked_pairs(m, block=[F.col("name"), F.col("dsc")], key="code"), "key_a", "key_b")) == [("1", "2")]
-    assert sorted(values(blocked_pairs(m, block=[F.col("dsc")], key="code", differ=F.coalesce("name", F.lit(""))), "key_a", "key_b")) == [("1", "4"), ("1", "5"), ("2", "4"), ("2", "5"), ("4", "5")]
+    assert sorted(values(block_classes(m, block=[F.col("name"), F.col("dsc")], key="code"), "key", "class_key", "n_links")) == [("1", "1", 1), ("2", "1", 1)]
+    assert sorted(values(block_classes(m, block=[F.col("dsc")], key="code", differ=F.coalesce("name", F.lit(""))), "key", "class_key", "n_links")) == [("1", "1", 2), ("2", "1", 2), ("4", "1", 3), ("5", "1", 3)]
+    assert block_classes(m.limit(0), block=[F.col("dsc")], key="code").count() == 0
     assert sorted(values(W.greedy_pairs(m.distinct(), [[F.col("name")], [F.col("dsc")]], key="code"), "key_a", "key_b", "pass")) == [("1", "2", 1), ("4", "5", 2)]
     a, b = spark.createDataFrame([("p",), ("q",)], "k string"), spark.createDataFrame([("q",), ("r",)], "k string")
     assert dict(values(full_diff(a, b, ["k"]), "k", "state")) == {"p": "resolved", "q": "unresolved", "r": "added"}
@@ -141,3 +145,31 @@ def test_tables():
     text = "名称\t单位\t数量\t单价\t金额\nbolt\t个\t50\t400\t19,000\n\n合计\t19000\nnut\t\t\t3\t9\n"
     assert list(parse_table(text)) == [(2, "bolt", "个", 50.0, 400.0, 19000.0), (5, "nut", "", None, 3.0, 9.0)]
     assert list(parse_table(None)) == [] and list(parse_table("bolt 个 2 3 6")) == [(1, "bolt", "个", 2.0, 3.0, 6.0)]
+
+
+def test_stock_counts():
+    text = "盘点\n编码\t名称\t期初\t入库\t出库\t账面\t实盘\t差异\t单价\t差异金额\nA\tx\t100\t50\t30\t120\t118\t(2)\t¥25\t-50\n合计\t\t100\n"
+    rows = list(parse_stock(text))
+    assert rows[0] == (3, False, "A", "x", 100.0, 50.0, 30.0, 120.0, 118.0, -2.0, 25.0, None, -50.0) and rows[1][:2] == (4, True)
+    assert role_of("入库金额") == "in_amount" and role_of("?") is None and amount("1,234元") == 1234.0 and amount("x") is None and list(parse_stock(None)) == []
+
+
+def test_records(spark):
+    df = spark.createDataFrame([("原告甲公司 （2024）京01民终123号、(2023)沪02执45号 （2024）京01民终123号",), ("被告甲公司",), (None,)], "t string")
+    assert values(df, records.case_numbers(F.col("t")))[0][0] == ["（2024）京01民终123号", "(2023)沪02执45号"]
+    n = F.get(records.case_numbers(F.col("t")), 0)
+    assert values(df.limit(1), records.case_year(n), records.case_kind(n))[0] == (2024, "civil")
+    counts = records.role_counts(F.col("t"), F.lit("甲公司"))
+    assert tuple(df.agg(*[c.alias(k) for k, c in counts.items()]).head()) == (2, 1, 1)
+    assert values(df.limit(1), records.search_keywords(F.lit("甲"), ["诉讼", "判决"]), records.picked_titles(F.lit("2024年年度报告"), "年度报告", "摘要"), records.picked_titles(F.lit("年度报告摘要"), "年度报告", "摘要"))[0] == (["甲", "甲 诉讼", "甲 判决"], True, False)
+
+
+def test_registered_functions(spark):
+    register(spark)
+    assert spark.sql("select text_similarity('ab', 'ab') s, to_canonical_unit(2.0, 'ft').value v").head()[:] == (1.0, pytest.approx(0.6096))
+    assert spark.sql("select name, qty from table_rows('bolt 个 2 3 6')").head()[:] == ("bolt", 2.0)
+
+
+def test_wall_clock(spark):
+    df = spark.createDataFrame([("2024-01-01 08:00:00",), ("2024-01-01 08:00",), ("1704067200000",), ("x",), (None,)], "s string")
+    assert [r[0] for r in values(df, zone_millis(F.col("s")))] == [1704067200000] * 3 + [None, None]

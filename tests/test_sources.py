@@ -36,6 +36,33 @@ def test_scan_pages(spark):
     assert rows.count() == 6 and truncated
 
 
+def test_scan_slices(spark):
+    times = sorted([5, 6, 7, 8, 9, 10, 11, 12, 99, 100, 101, 199] * 1)
+
+    def fetch(a, b):
+        return [{"id": t} for t in times if a <= t < b][:4]
+
+    got = paged.scan_slices(spark, fetch, 0, 200, slice_ms=100, overlap_ms=10, full=4).collect()
+    assert sorted(int(r.id) for r in got) == times and not any(r.incomplete for r in got)
+    crowded = paged.scan_slices(spark, lambda a, b: [{"id": i} for i in range(4)], 0, 100, slice_ms=100, full=4, max_depth=1).collect()
+    assert len(crowded) == 4 and all(r.incomplete for r in crowded)
+    assert paged.scan_slices(spark, fetch, 0, 0).count() == 0
+
+
+def test_cursor_and_details(spark):
+    pages = {None: ([{"a": 1}], "x"), "x": ([{"a": 2}, {"a": 3}], None)}
+    assert paged.scan_cursor(spark, lambda c: pages[c]).count() == 3
+
+    def fetch(key):
+        if key == "b":
+            raise KeyError("gone")
+        return {"id": key}
+
+    ids = spark.createDataFrame([("a",), ("b",), (None,)], "k string")
+    got = {r.id: (r.item, r.error) for r in paged.fetch_details(ids, fetch, id="k").collect()}
+    assert got == {"a": ('{"id": "a"}', None), "b": (None, "KeyError: 'gone'")}
+
+
 def test_landed_pages(spark, tmp_path):
     for n, ids in enumerate([[1, 2], [2, 3]]):
         (tmp_path / f"page-{n}.json").write_text(json.dumps({"items": [{"id": i, "page": n} for i in ids]}))
@@ -97,6 +124,8 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{t}/x").count() == 2 and spark.read.json(f"{t}/y").count() == 2 and sinks.newest(spark.read.parquet(f"{t}/log"), "at_ms", 3).count() == 3
     lines = sinks.report_lines(df.withColumn("s", F.lit("s")), "s", F.col("id"), [F.col("id")], 1).orderBy("position").collect()
     assert [r.line for r in lines] == ["a", "and 1 more"]
+    page = sinks.html_report(sinks.report_lines(df.withColumn("s", F.lit("<s>")), "s", F.col("id"), [F.col("id")], 1), "s", "T")
+    assert page == "<h1>T</h1>\n<h2>&lt;s&gt;</h2>\n<p>a</p>\n<p>and 1 more</p>"
     assert [r.flag for r in sinks.flagged(df, {"big": F.col("at_ms") > 1}).orderBy("id").collect()] == [None, "big"]
 
 
