@@ -26,8 +26,8 @@ def narrow_digits(c: Column) -> Column:
 
 #: Words and signs that stand for "none", "unknown" or "still open"; compared in lower case, without white space. Fixed values.
 PLACEHOLDERS = (
-    "-", "--", "---", "—", "——", "/", "//", "\\", "?", "??", "???", ".", "..", "...", "*", "**", "_", "~", "#", "x", "xx", "xxx",
-    "n/a", "na", "n.a.", "#n/a", "nil", "none", "null", "nan", "nat", "undefined", "unknown", "tbd", "tbc", "tba", "todo", "pending", "open",
+    "-", "--", "---", "—", "——", "/", "//", "\\", "?", "??", "???", ".", "..", "...", "*", "**", "_", "~", "#", "xxx",
+    "n/a", "na", "n.a.", "#n/a", "nil", "none", "null", "nan", "nat", "undefined", "unknown", "tbd", "tbc", "tba", "todo", "pending",
     "无", "無", "没有", "空", "暂无", "未知", "不详", "不明", "未定", "待定", "待确认", "待补充", "待查", "待议", "另议", "面议", "询价", "暂缺", "未填", "未填写",
 )
 

@@ -22,7 +22,8 @@ INCLUDE, EXCLUDE = ["铜", "电缆", "kabel"], ["铜接线鼻"]
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
-    r = table(spark, sf, "info_record").where(~is_blank(F.col("material_id"))).distinct()
+    columns = ["record_id", "material_id", "supplier_id", "unit_price", "price_valid_from", "price_valid_to", "created_date", "landed_at"]
+    r = table(spark, sf, "info_record").where(~is_blank(F.col("material_id"))).select(*columns).distinct()
     return r.withColumns({"valid_from": parse_day(F.col("price_valid_from")), "valid_to": parse_day(F.col("price_valid_to")), "created": parse_day(F.col("created_date"))})
 
 
@@ -210,7 +211,7 @@ def keyword_materials(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _line_findings(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "po_line").distinct()
+    lines = table(spark, sf, "po_line").select("row_id", "qty", "price_ex_tax", "tax_rate", "total_ex_tax", "total_inc_tax").distinct()
     amount: Column = F.col("qty") * F.col("price_ex_tax")
     taxed: Column = F.col("total_ex_tax") * (1 + F.col("tax_rate"))
     return C.row_findings(lines, row=F.col("row_id"), required=["qty", "price_ex_tax", "total_ex_tax"], equations=[("amount", amount, F.col("total_ex_tax"), 0.05), ("tax", taxed, F.col("total_inc_tax"), 0.05)])
@@ -231,7 +232,7 @@ def blank_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _R = f"""
-WITH r AS (SELECT DISTINCT *, {duck_day("price_valid_from")} AS f, {duck_day("price_valid_to")} AS t, {duck_day("created_date")} AS c FROM info_record WHERE trim(coalesce(material_id, '')) <> ''),
+WITH r AS (SELECT DISTINCT record_id, material_id, supplier_id, unit_price, landed_at, {duck_day("price_valid_from")} AS f, {duck_day("price_valid_to")} AS t, {duck_day("created_date")} AS c FROM info_record WHERE trim(coalesce(material_id, '')) <> ''),
 e AS (SELECT * FROM r WHERE unit_price > 0 AND (f IS NULL OR f <= DATE '{TODAY}') AND (t IS NULL OR t >= DATE '{TODAY}')
   QUALIFY row_number() OVER (PARTITION BY material_id, supplier_id ORDER BY coalesce(c, f, DATE '0001-01-01') DESC, record_id DESC) = 1)
 """
@@ -266,11 +267,24 @@ SQL = {
       j AS (SELECT a.pair_no, a.x AS a, b.x AS b, row_number() OVER (ORDER BY a.pair_no) AS n FROM p a JOIN p b ON a.pair_no = b.pair_no AND a.s = 'A' AND b.s = 'B')
       SELECT n, 'A-' || n AS label_a, 'B-' || n AS label_b, a[1] AS code_a, b[1] AS code_b,
         concat_ws(',', CASE WHEN a[1] <> b[1] THEN 'code' END, CASE WHEN a[2] <> b[2] THEN 'name' END, CASE WHEN a[3] <> b[3] THEN 'mat_desc' END, CASE WHEN a[4] <> b[4] THEN 'cat' END) AS differing FROM j""",
+    "pair_reasons": r"""WITH p AS (SELECT pair_no, left(mark, 1) AS s, min((coalesce(code, ''), coalesce(name, ''), coalesce(mat_desc, ''), coalesce(cat, ''))) AS x FROM dup_pair WHERE pair_no IS NOT NULL GROUP BY ALL),
+      j AS (SELECT a.pair_no, a.x[1] AS ca, b.x[1] AS cb, a.x[4] AS ka, b.x[4] AS kb, a.x[3] || ' ' || a.x[2] AS a, b.x[3] || ' ' || b.x[2] AS b FROM p a JOIN p b ON a.pair_no = b.pair_no AND a.s = 'A' AND b.s = 'B'),
+      w AS (SELECT *, list_filter(['红', '黑', '白', '黄绿', '灰'], lambda x: contains(a, x)) AS wa, list_filter(['红', '黑', '白', '黄绿', '灰'], lambda x: contains(b, x)) AS wb,
+        list_sort(list_distinct(regexp_extract_all(a, 'M(\d+)', 1))) AS ma, list_sort(list_distinct(regexp_extract_all(b, 'M(\d+)', 1))) AS mb, regexp_extract_all(a, '(\d+[x*]\d+)', 1) AS sa, regexp_extract_all(b, '(\d+[x*]\d+)', 1) AS sb FROM j)
+      SELECT pair_no, CASE WHEN (ca = '') <> (cb = '') THEN 'code missing' WHEN ka <> '' AND kb <> '' AND ka <> kb THEN 'category' WHEN len(wa) > 0 AND len(wb) > 0 AND wa <> wb THEN 'colour' WHEN len(ma) > 0 AND len(mb) > 0 AND ma <> mb THEN 'thread'
+        WHEN len(sa) > 0 AND len(sb) > 0 AND sa <> sb THEN 'size' WHEN (contains(a, '内') AND contains(b, '外')) OR (contains(a, '外') AND contains(b, '内')) THEN 'inner/outer' WHEN contains(a, '屏蔽') <> contains(b, '屏蔽') THEN 'shielded' END AS reason FROM w""",
+    "requested_ids": """WITH r AS (SELECT order_no, list_sort(list(DISTINCT material_id)) AS q FROM po_line WHERE material_id <> '' AND material_id <> 'undefined' GROUP BY 1),
+      f AS (SELECT order_no, coalesce(list_sort(list(DISTINCT material_id) FILTER (material_id IN (SELECT material_id FROM available_stock))), []) AS f FROM po_line WHERE material_id <> 'undefined' GROUP BY 1),
+      o AS (SELECT DISTINCT order_no FROM po_line), j AS (SELECT o.order_no, coalesce(q, []) AS q, coalesce(f, []) AS f FROM o LEFT JOIN r ON o.order_no IS NOT DISTINCT FROM r.order_no LEFT JOIN f ON o.order_no = f.order_no)
+      SELECT order_no, CASE WHEN len(q) >= 2 AND len(list_filter(q, lambda x: list_contains(f, x))) > 0 THEN array_to_string(list_filter(q, lambda x: list_contains(f, x)), ',') END AS matched, array_to_string(list_filter(q, lambda x: NOT list_contains(f, x)), ',') AS one_side FROM j""",
+    "merged_records": """WITH m AS (SELECT material_id, min(manufacturer) AS k, coalesce(list_sort(list(DISTINCT unit) FILTER (unit IS NOT NULL)), []) AS u FROM material GROUP BY 1),
+      p AS (SELECT material_id, min(manufacturer) AS k, coalesce(list_sort(list(DISTINCT unit) FILTER (unit IS NOT NULL)), []) AS u FROM po_line WHERE material_id IS NOT NULL GROUP BY 1)
+      SELECT material_id, coalesce(nullif(m.k, ''), nullif(p.k, '')) AS maker, array_to_string(CASE WHEN len(m.u) >= len(p.u) THEN m.u ELSE p.u END, ',') AS units FROM m JOIN p USING (material_id)""",
     "run_diff": """WITH s AS (SELECT DISTINCT snapshot_date AS d, upper(trim(code)) AS code FROM material_snapshot), o AS (SELECT code FROM s WHERE d = '2026-01-05'), n AS (SELECT code FROM s WHERE d = '2026-03-02')
       SELECT coalesce(o.code, n.code) AS code, CASE WHEN n.code IS NULL THEN 'resolved' WHEN o.code IS NULL THEN 'added' ELSE 'unresolved' END AS state FROM o FULL JOIN n ON o.code = n.code""",
     "all_material_ids": "SELECT material_id FROM material UNION SELECT material_id FROM info_record UNION SELECT material_id FROM po_line UNION SELECT material_id FROM available_stock",
     "keyword_materials": "SELECT code, CASE WHEN contains(t, '铜接线鼻') THEN false ELSE contains(t, '铜') OR contains(t, '电缆') OR contains(t, 'kabel') END AS wanted FROM (SELECT DISTINCT code, lower(concat_ws(' ', name, mat_desc)) AS t, cat, subcat, name, mat_desc, manufacturer, unit, lead_time FROM material)",
-    "line_findings": """WITH l AS (SELECT DISTINCT * FROM po_line), m AS (SELECT *, qty IS NULL OR price_ex_tax IS NULL OR total_ex_tax IS NULL AS lacks FROM l)
+    "line_findings": """WITH l AS (SELECT DISTINCT row_id, qty, price_ex_tax, tax_rate, total_ex_tax, total_inc_tax FROM po_line), m AS (SELECT *, qty IS NULL OR price_ex_tax IS NULL OR total_ex_tax IS NULL AS lacks FROM l)
       SELECT 'P1' AS level, 'missing' AS category, row_id::VARCHAR AS row_ref FROM m WHERE lacks UNION ALL SELECT 'P0', 'amount', row_id::VARCHAR FROM m WHERE NOT lacks AND abs(qty * price_ex_tax - total_ex_tax) > 0.05
       UNION ALL SELECT 'P0', 'tax', row_id::VARCHAR FROM m WHERE NOT lacks AND abs(total_ex_tax * (1 + tax_rate) - total_inc_tax) > 0.05""",
     "blank_cells": """SELECT DISTINCT code, "column" FROM (UNPIVOT (SELECT code, coalesce(manufacturer, '') AS manufacturer, coalesce(unit, '') AS unit, coalesce(lead_time, '') AS lead_time, coalesce(price, '') AS price FROM material) ON manufacturer, unit, lead_time, price INTO NAME "column" VALUE v)

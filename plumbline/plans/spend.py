@@ -15,7 +15,7 @@ from plumbline.operators.windows import capped_sections
 from plumbline.plans.duck import day as duck_day
 from plumbline.sources.tables import table
 
-#: Days the queries take as today, and the first day of the north-star query; parameters, not data.
+#: Days the queries take as today, and the first day of the top-spend profile; parameters, not data.
 TODAY, SINCE = "2025-06-30", "2025-01-01"
 _PRICE, _AMOUNT, _QTY = "price_ex_tax", "total_ex_tax", "qty"
 
@@ -140,7 +140,7 @@ def top_spend(spark: SparkSession, sf: str) -> DataFrame:
     return A.top(spend, 10, by="spend", key="material_id")
 
 
-def north_star(spark: SparkSession, sf: str) -> DataFrame:
+def top_spend_profile(spark: SparkSession, sf: str) -> DataFrame:
     """The ten materials of most spend since a day, with stock, name and supplier state."""
     lines = _lines(spark, sf).where((F.col("day") >= F.lit(SINCE).cast("date")) & F.col("material_id").isNotNull())
     best = A.top(lines.groupBy("material_id").agg(F.round(F.sum(_AMOUNT), 2).alias("spend")), 10, by="spend", key="material_id")
@@ -226,7 +226,7 @@ SQL = {
       SELECT material_id, coalesce(len(s), 0) AS n_sources, coalesce(len(s), 0) = 1 AS sole_source, coalesce(len(s), 0) = 0 AS no_source, coalesce(array_to_string(s, '|'), '') AS sources
       FROM (SELECT DISTINCT material_id FROM material) LEFT JOIN f USING (material_id)""",
     "top_spend": _L + "SELECT material_id, round(sum(total_ex_tax), 2) AS spend FROM l WHERE material_id IS NOT NULL GROUP BY 1 ORDER BY spend DESC, material_id LIMIT 10",
-    "north_star": _L + f""", w AS (SELECT * FROM l WHERE day >= {_S} AND material_id IS NOT NULL), b AS (SELECT material_id, round(sum(total_ex_tax), 2) AS spend FROM w GROUP BY 1 ORDER BY spend DESC, material_id LIMIT 10),
+    "top_spend_profile": _L + f""", w AS (SELECT * FROM l WHERE day >= {_S} AND material_id IS NOT NULL), b AS (SELECT material_id, round(sum(total_ex_tax), 2) AS spend FROM w GROUP BY 1 ORDER BY spend DESC, material_id LIMIT 10),
       n AS (SELECT material_id, count(DISTINCT supplier_code) AS n_sources FROM w GROUP BY 1)
       SELECT material_id, spend, available, name, n_sources, n_sources = 1 AS sole_source, s.material_id IS NULL OR m.material_id IS NULL AS orphan
       FROM b JOIN n USING (material_id) LEFT JOIN {_STOCK} s USING (material_id) LEFT JOIN {_NAMES} m USING (material_id)""",
@@ -239,4 +239,4 @@ SQL = {
       FROM (SELECT DISTINCT row_id, material_id, qty FROM po_line) LEFT JOIN {_STOCK} USING (material_id)""",
 }
 
-QUERIES = {f.__name__: f for f in (po_stats, price_spread, price_spread_category, repeat_purchase, repeat_purchase_category, price_trend_monthly, price_trend_change, supplier_ranking, po_overview, price_vs_same_day, price_vs_history, orphan_lines, stock_total, traded_without_record, sole_source, top_spend, north_star, top_materials_by_supplier, rows_by_source, spend_two_ways, open_quantities)}
+QUERIES = {f.__name__: f for f in (po_stats, price_spread, price_spread_category, repeat_purchase, repeat_purchase_category, price_trend_monthly, price_trend_change, supplier_ranking, po_overview, price_vs_same_day, price_vs_history, orphan_lines, stock_total, traded_without_record, sole_source, top_spend, top_spend_profile, top_materials_by_supplier, rows_by_source, spend_two_ways, open_quantities)}
