@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import measures
 from plumbline.functions.text import is_blank
+from plumbline.session import cut_lineage
 
 
 @F.pandas_udf(T.StructType([T.StructField("scale", T.DoubleType()), T.StructField("dim", T.StringType())]))
@@ -69,10 +70,11 @@ def same_price_pairs(records: DataFrame, tolerance: float = 0.001) -> DataFrame:
         .select("record_id", "material_id", "supplier_id", "unit_price", "material_unit", "material_desc")
     )
     width = math.log1p(2 * tolerance)
-    known = priced.where(F.col("common_price").isNotNull() & (F.col("common_price") < float("inf"))).select(
+    # Read four times below, so the texts are parsed once and the few columns written.
+    known = cut_lineage(priced.where(F.col("common_price").isNotNull() & (F.col("common_price") < float("inf"))).select(
         F.col("record_id").alias("r"), F.col("material_id").alias("m"), F.col("supplier_id").alias("s"), F.col("common_unit").alias("u"),
         F.col("unit_price").alias("p"), F.col("common_price").alias("c"), F.floor(F.ln("common_price") / width).alias("b"),
-    )
+    ).distinct())
     classes = known.groupBy("m", "s", "u", "p", "c", "b").agg(F.lit(1).alias("one")).drop("one")
     left = classes.select("m", "s", "u", F.col("p").alias("p1"), F.col("c").alias("c1"), F.explode(F.array("b", F.col("b") + 1)).alias("b"), F.col("b").alias("b1"))
     right = classes.select("m", "s", "u", F.col("p").alias("p2"), F.col("c").alias("c2"), "b")
