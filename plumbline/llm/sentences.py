@@ -17,7 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_MASK, _PARA, _ITEM, _SEP = "\ue000", "\ue001", "\ue002", "\ue003"
+#: Private-use placeholders: a masked mark, an empty line, a line break before a list item, a sentence end, and a mark that follows another in a run.
+_MASK, _PARA, _ITEM, _SEP, _MORE = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
 _HSPACE = " \t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WS = f"[{_HSPACE}\n]"
 _HS = f"[{_HSPACE}]"
@@ -33,15 +34,15 @@ _CLOSERS = "".join(_CLOSE)
 _TITLES = ("《》", "〈〉")
 #: Abbreviations after which the sentence goes on whatever follows. Fixed values.
 _GOES_ON = (
-    "mr mrs ms mx dr prof st fig figs pos sec secs rev vs cf approx excl incl viz acc ref refs dept attn tel ext eq art vol chap app ed eds e\ue000g i\ue000e a\ue000k\ue000a "
-    "hr fr fa abt abschn gem zzgl inkl exkl ca bzgl bzw vgl evtl ggf sog abb kap tab str u\ue000a z\ue000b d\ue000h "
-    "им рис табл см ок тел ул просп т\ue000е напр "
+    "mr mrs ms mx dr prof st fig figs pos sec secs rev vs cf approx excl incl viz acc ref refs dept attn tel ext eq art vol chap app ed eds e\\.g i\\.e a\\.k\\.a "
+    "hr fr fa abt abschn gem zzgl inkl exkl ca bzgl bzw vgl evtl ggf sog abb kap tab str u\\.a z\\.b d\\.h "
+    "им рис табл см ок тел ул просп т\\.е напр "
     "रु क्र डॉ श्री सं पृ कि ग्रा मि मी"
 ).split()
 #: Those that go on before a number or a label with digits. Fixed values.
 _BEFORE_NUMBER = "no nos nr qty p pp s ss ver v lot line item стр с п пп гл № т".split()
 #: Those that go on before a Chinese, Japanese or Korean character without a space. Fixed values.
-_BEFORE_CJK = "inc ltd co corp llc plc gmbh ag kg bros mfg int no nr etc e\ue000g i\ue000e".split()
+_BEFORE_CJK = "inc ltd co corp llc plc gmbh ag kg bros mfg int no nr etc e\\.g i\\.e".split()
 _MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember Jan Feb Mrz Apr Jun Jul Aug Sep Sept Okt Nov Dez".split()
 #: German words after which a number with a full stop is an ordinal. Fixed values.
 _BEFORE_ORDINAL = "der die das den dem des am im vom zum zur beim ab bis seit jeder jede jedes jedem jeden ein eine einer einen einem eines".split()
@@ -58,47 +59,64 @@ def _any(words: list[str]) -> str:
 
 
 def _steps() -> list[tuple[str, str]]:
-    """(pattern, replacement) in order up to the pairs of quotes and brackets; all keep the length."""
+    """(pattern, replacement) in order, up to the pairs of quotes and brackets; all keep the length."""
     word = r"(?<![\p{L}\p{M}\p{N}])"
     s: list[tuple[str, str]] = [("[\ue000-\ue0ff]", "\ufffd")]
-    # Every pattern consumes the sign in question first and looks behind it only then: a pattern that
-    # begins with a look-behind would try it at every character.
-    stop = r"[.．]"
     # Empty lines.
     s += [(rf"\n(?={_HS}*\n)", _PARA), (rf"\n(?<={_PARA}{_HS}{{0,50}}\n)", _PARA)]
-    # Question and exclamation marks in addresses, full stops in numbers, labels, versions, file names.
+    # Question and exclamation marks in addresses.
     s += [(rf"[?!](?=[A-Za-z0-9/&=_%#])(?<=(?:https?|ftp)://[^{_HSPACE}\n]{{0,200}}[?!])", _MASK)]
-    s += [(rf"{stop}(?=[\p{{L}}\p{{N}}\p{{M}}])(?![{_CJK}])(?<=[\p{{L}}\p{{N}}\p{{M}}]{stop})(?<![{_CJK}]{stop})", _MASK)]
-    s += [(rf"{stop}(?=\p{{N}})(?<=(?:^|[{_HSPACE}\n{_PARA}(（≈~<>=±+-]){stop})", _MASK)]
-    s += [(rf"{stop}(?=[-/\\_@#&=+*^|])", _MASK), (r"[.．…](?=[.．…]*[,;:，；：、])", _MASK)]
-    s += [(r"\.(?<=[฀-๿]\.)", _MASK)]
-    # Abbreviations and initials.
-    s += [(rf"\.(?<={word}(?i:{_any(_GOES_ON)})\.)", _MASK)]
-    s += [(rf"\.(?={_WS}*(?:[\p{{N}}#№]|[A-Z]{{1,4}}-?\p{{N}}))(?<={word}(?i:{_any(_BEFORE_NUMBER)})\.)", _MASK)]
-    s += [(rf"\.(?=[{_CJK}])(?<={word}(?i:{_any(_BEFORE_CJK)})\.)", _MASK)]
-    s += [(rf"\.(?={_WS}+\p{{Lu}})(?<=\p{{Lu}}\.)(?<![\p{{L}}\p{{N}}{_MASK}'’-]\p{{Lu}}\.)(?<!\p{{N}}{_WS}\p{{Lu}}\.)", _MASK), (rf"\.(?<={word}z[.{_MASK}]{_WS}?B\.)", _MASK)]
-    s += [(rf"\.(?<=\p{{Ll}}\.)(?<![\p{{L}}\p{{M}}\p{{N}}{_MASK}]\p{{Ll}}\.)(?<!\p{{N}}{_WS}\p{{Ll}}\.)(?!(?<=т[.{_MASK}]{_WS}?[дпк]\.){_WS}+\p{{Lu}})", _MASK)]
-    # Ordinals.
-    s += [(rf"\.(?={_WS}*(?:{_any(_MONTHS)})(?!\p{{L}}))(?<=(?<![\p{{N}}.,{_MASK}])\p{{N}}{{1,2}}\.)", _MASK)]
-    s += [(rf"\.(?={_WS}+\p{{L}})(?<=\p{{N}}\.)(?<={word}(?i:{_any(_BEFORE_ORDINAL)}){_WS}\p{{N}}{{1,3}}\.)", _MASK)]
+    # A run of dots is its first one; what follows is looked past from there alone, so long runs cost no more than their length.
+    s += [(r"[.．…](?<=[.．…][.．…])", _MORE)]
+    # Full stops that end nothing, in one pass: the stop is consumed first and its surroundings are looked at only then.
+    stop = r"[.．]"
+    end_of_clause = rf"(?<=т\.{_WS}?[дпк]\.){_WS}+\p{{Lu}}"
+    rules = [
+        # In numbers, labels, versions, file names; before signs that go on.
+        rf"(?=[\p{{L}}\p{{N}}\p{{M}}])(?![{_CJK}])(?<=[\p{{L}}\p{{N}}\p{{M}}]{stop})(?<![{_CJK}]{stop})",
+        rf"(?=\p{{N}})(?<=(?:^|[{_HSPACE}\n{_PARA}(（≈~<>=±+-]){stop})",
+        r"(?=[-/\\_@#&=+*^|])",
+        r"(?<=[฀-๿]\.)",
+        # Abbreviations.
+        rf"(?<={word}(?i:{_any(_GOES_ON)})\.)",
+        rf"(?={_WS}*(?:[\p{{N}}#№]|[A-Z]{{1,4}}-?\p{{N}}))(?<={word}(?i:{_any(_BEFORE_NUMBER)})\.)",
+        rf"(?=[{_CJK}])(?<={word}(?i:{_any(_BEFORE_CJK)})\.)",
+        # Initials and single letters, but not units behind a number.
+        rf"(?={_WS}+\p{{Lu}})(?<=\p{{Lu}}\.)(?<![\p{{L}}\p{{N}}.'’-]\p{{Lu}}\.)(?<!\p{{N}}{_WS}\p{{Lu}}\.)",
+        rf"(?<={word}z\.{_WS}?B\.)",
+        rf"(?<=\p{{Ll}}\.)(?<![\p{{L}}\p{{M}}\p{{N}}.]\p{{Ll}}\.)(?<!\p{{N}}{_WS}\p{{Ll}}\.)(?!{end_of_clause})",
+        # Ordinals.
+        rf"(?={_WS}*(?:{_any(_MONTHS)})(?!\p{{L}}))(?<=(?<![\p{{N}}.,])\p{{N}}{{1,2}}\.)",
+        rf"(?={_WS}+\p{{L}})(?<=\p{{N}}\.)(?<={word}(?i:{_any(_BEFORE_ORDINAL)}){_WS}\p{{N}}{{1,3}}\.)",
+    ]
+    s += [(f"{stop}(?!{_MORE})(?:{'|'.join(rules)})", _MASK), (f"[.．…](?={_MORE}*[,;:，；：、])", _MASK)]
     # List items: a line with a list sign after another such line, or after a line that is complete.
     s += [(rf"(?<=^|[\n{_PARA}])({_SIGN}[^\n{_PARA}]*)\n(?={_SIGN})", f"$1{_ITEM}")]
-    s += [(rf"\n(?={_SIGN})(?<=[{_CJK}:：;；”’」』）)\]】》〉»\"{_M[1:-1]}]\r?\n)", _ITEM)]
+    s += [(rf"\n(?={_SIGN})(?<=[{_CJK}:：;；”’」』）)\]】》〉»\"{_MORE}{_M[1:-1]}]\r?\n)", _ITEM)]
     s += [(rf"[.．)）](?!\p{{N}})(?<=(?:^|[{_PARA}{_ITEM}]){_HS}{{0,20}}[\p{{N}}{_NUMERALS}]{{1,3}}[.．)）])", _MASK)]
     # Dots before a small letter.
-    s += [(rf"[.…](?:(?<=…)|(?=[.…])|(?<=[.…]\.))(?=[.…]*{_WS}*\p{{Ll}})", _MASK), (rf"\.(?={_WS}+\p{{Ll}})(?<![.…]\.)", _MASK)]
-    # Pairs of quotes, brackets and titles.
+    s += [(rf"[.…](?={_MORE}*{_WS}*\p{{Ll}})(?<=…|\.(?={_MORE}|{_WS}))", _MASK)]
+    return s
+
+
+def _pair_steps() -> list[tuple[str, str, str]]:
+    """(opening signs, pattern, replacement) that give each kind of pair its own private signs, in order."""
     pairs = [*((p[0], p[1:]) for p in _PAIRS), ("（(", "）)"), ("（(", "）)")]
+    out = []
     for i, (o, c) in enumerate(pairs):
         both = (o + c).replace("[", r"\[").replace("]", r"\]")
-        s += [(rf"[{o.replace('[', chr(92) + '[')}]([^{both}{_PARA}{_ITEM}]*)[{c.replace(']', chr(92) + ']')}]", f"{_OPEN[i]}$1{_CLOSE[i]}")]
-    return s
+        out.append((o, rf"[{o.replace('[', chr(92) + '[')}]([^{both}{_PARA}{_ITEM}]*)[{c.replace(']', chr(92) + ']')}]", f"{_OPEN[i]}$1{_CLOSE[i]}"))
+    return out
+
+
+#: A mark behind another is part of its run.
+_RUN = (rf"{_M}(?<=[{_MORE}{_M[1:-1]}]{_M})", _MORE)
 
 
 def _inside() -> list[tuple[str, str, str]]:
     """(opening, closing, pattern of the marks between them to mask): all in titles, else all but those at the end."""
     kinds = [*_PAIRS, "()", "()"]
-    return [(o, c, _M if kind in _TITLES else rf"{_M}(?!{_M}*{_WS}*[{_CLOSERS}]*$)") for o, c, kind in zip(_OPEN, _CLOSE, kinds)]
+    return [(o, c, _M if kind in _TITLES else rf"{_M}(?!{_MORE}*{_WS}*[{_CLOSERS}]*$)") for o, c, kind in zip(_OPEN, _CLOSE, kinds)]
 
 
 def _separators() -> list[tuple[str, str]]:
@@ -106,9 +124,9 @@ def _separators() -> list[tuple[str, str]]:
     s: list[tuple[str, str]] = []
     # Marks at the end of quotes or brackets after which the surrounding sentence goes on.
     on = rf"{_WS}{{0,3}}[,，、;；:：—–―-]|{_WS}*\p{{Ll}}|{_M}|[のとではがをにもかやへっ가-힣的地得之等了吗呢吧啊]"
-    s += [(rf"{_M}(?={_M}*[{_CLOSERS}]+(?:{on}))", _MASK)]
+    s += [(rf"{_M}(?={_MORE}*[{_CLOSERS}]+(?:{on}))", _MASK)]
     # Separators.
-    s += [(rf"({_M}+[{_CLOSERS}”’」』）)\]】》〉»]*)", f"$1{_SEP}")]
+    s += [(rf"({_M}{_MORE}*[{_CLOSERS}”’」』）)\]】》〉»]*)", f"$1{_SEP}")]
     s += [(rf"({_WS})(?<=[ก-ฺเ-๎]{_WS})({_WS}*)(?=[ก-ฺเ-๎])", f"$1$2{_SEP}")]
     s += [(rf"([{_PARA}{_ITEM}])", f"$1{_SEP}")]
     return s
@@ -144,14 +162,18 @@ def sentence_spans(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     letters without a meaning.
     """
     size = lambda pattern, x: F.length(x) - F.length(F.regexp_replace(x, pattern, ""))
-    rows = documents.where(F.col(text).isNotNull()).select(F.col(doc_id), _replaced(F.col(text), _steps()).alias("t"))
+    rows = documents.where(F.col(text).isNotNull()).select(F.col(doc_id), F.explode(F.array(_replaced(F.col(text), _steps()))).alias("t"))
+    # Each explode of a one-element array is a barrier: what it holds is computed once per text.
+    for signs, pattern, replacement in _pair_steps():
+        paired = F.when(reduce(lambda a, b: a | b, [F.contains("t", F.lit(o)) for o in signs]), F.regexp_replace("t", pattern, replacement)).otherwise(F.col("t"))
+        rows = rows.select(F.col(doc_id), F.explode(F.array(paired)).alias("t"))
+    rows = rows.select(F.col(doc_id), F.regexp_replace("t", *_RUN).alias("t"))
     for opening, closing, marks in _inside():
         rows = rows.select(F.col(doc_id), F.explode(F.array(_mask_inside(F.col("t"), opening, closing, marks))).alias("t"))
     pieces = F.transform(
         F.split(_replaced(F.col("t"), _separators()), _SEP),
-        lambda x: F.struct(F.length(x).alias("n"), size(f"^{_BLANK}+", x).alias("lead"), size(f"{_BLANK}+$", x).alias("trail")),
+        lambda x: F.struct(F.length(x).alias("n"), size(f"^{_BLANK}+", x).alias("lead"), size(f"(?<!{_BLANK}){_BLANK}+$", x).alias("trail")),
     )
-    # Each explode of a one-element array is a barrier: what it holds is computed once per text.
     once = rows.select(F.col(doc_id), F.explode(F.array(pieces)).alias("p"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + x["n"])
     chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size("p") / _CHUNK)), lambda i: total(F.slice("p", i.cast("int") * _CHUNK + 1, _CHUNK)))

@@ -134,7 +134,7 @@ def split(text):
             t = regex.sub(p, re.sub(r"\$(\d)", r"\\\1", r), t)
         return t
 
-    t = run(text, sentences._steps())
+    t = run(text, sentences._steps() + [x[1:] for x in sentences._pair_steps()] + [sentences._RUN])
     for o, c, m in sentences._inside():
         if c in t:
             t = "".join(regex.sub(m, sentences._MASK, x) if x.startswith(o) else x for x in regex.split(f"(?V1)(?=[{o}{c}])", t))
