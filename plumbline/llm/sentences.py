@@ -12,6 +12,7 @@ Everything happens in the row of the text: no shuffle, no Python.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -134,6 +135,7 @@ def _separators() -> list[tuple[str, str]]:
 
 #: White space of all kinds, and the signs that stand for line breaks while a text is masked.
 _BLANK = f"[{_HSPACE}\n{_PARA}{_ITEM}]"
+_BLANKS = "".join(c for c in map(chr, range(0xE003)) if re.match(_BLANK, c))
 #: Pieces whose lengths are added up at a time; keeps the sums of long texts from growing with the square.
 _CHUNK = 128
 
@@ -161,7 +163,7 @@ def sentence_spans(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     long; other columns are not read. Private-use characters U+E000 to U+E0FF of a text count as
     letters without a meaning.
     """
-    size = lambda pattern, x: F.length(x) - F.length(F.regexp_replace(x, pattern, ""))
+    blanks = F.lit(_BLANKS)
     rows = documents.where(F.col(text).isNotNull()).select(F.col(doc_id), F.explode(F.array(_replaced(F.col(text), _steps()))).alias("t"))
     # Each explode of a one-element array is a barrier: what it holds is computed once per text.
     for signs, pattern, replacement in _pair_steps():
@@ -172,7 +174,7 @@ def sentence_spans(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         rows = rows.select(F.col(doc_id), F.explode(F.array(_mask_inside(F.col("t"), opening, closing, marks))).alias("t"))
     pieces = F.transform(
         F.split(_replaced(F.col("t"), _separators()), _SEP),
-        lambda x: F.struct(F.length(x).alias("n"), size(f"^{_BLANK}+", x).alias("lead"), size(f"(?<!{_BLANK}){_BLANK}+$", x).alias("trail")),
+        lambda x: F.struct(F.length(x).alias("n"), (F.length(x) - F.length(F.ltrim(x, blanks))).alias("lead"), (F.length(x) - F.length(F.rtrim(x, blanks))).alias("trail")),
     )
     once = rows.select(F.col(doc_id), F.explode(F.array(pieces)).alias("p"))
     total = lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + x["n"])
