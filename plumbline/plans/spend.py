@@ -25,8 +25,8 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "po_line").where(F.col(_AMOUNT) > 0).withColumn("day", F.coalesce(parse_day(F.col("order_time")), parse_day(F.col("create_time"))))
 
 
-def _r(c: str, places: int = 8) -> Column:
-    return F.round(c, places).alias(c)
+def _r(c: str, places: int = 10) -> Column:
+    return (F.round(c, places) + F.lit(0.0)).alias(c)  # no negative zero
 
 
 def po_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,7 +101,7 @@ def price_vs_history(spark: SparkSession, sf: str) -> DataFrame:
     """Lines from today on with the mean of all days before, and the band of the deviation."""
     today = F.lit(TODAY).cast("date")
     out = A.against_mean(_lines(spark, sf), ["mat_code"], value=_PRICE, history=F.col("day") < today, current=F.col("day") >= today)
-    return out.select("row_id", "mat_code", _PRICE, _r("mean_value"), "n_history", _r("deviation_pct", 3), A.banded(F.round("deviation_pct", 3), [(50, "high"), (20, "medium")]).alias("band"))
+    return out.select("row_id", "mat_code", _PRICE, _r("mean_value"), "n_history", _r("deviation_pct", 3), A.banded(F.round("deviation_pct", 3) + F.lit(0.0), [(50, "high"), (20, "medium")]).alias("band"))
 
 
 def orphan_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -195,17 +195,17 @@ _NAMES = "(SELECT material_id, arg_max(name, (landed_at, name)) AS name FROM mat
 _T, _S = f"DATE '{TODAY}'", f"DATE '{SINCE}'"
 
 SQL = {
-    "po_stats": _L + """SELECT mat_code, mat_name, supplier_code, round(avg(price_ex_tax), 8) AS avg_price, min(price_ex_tax) AS min_price, max(price_ex_tax) AS max_price,
+    "po_stats": _L + """SELECT mat_code, mat_name, supplier_code, round(avg(price_ex_tax), 10) AS avg_price, min(price_ex_tax) AS min_price, max(price_ex_tax) AS max_price,
       round(sum(total_ex_tax), 2) AS total_amount, round(coalesce(sum(qty), 0), 2) AS total_qty, count(total_ex_tax) AS n_lines
       FROM l WHERE mat_code IS NOT NULL AND mat_name IS NOT NULL AND supplier_code IS NOT NULL GROUP BY ALL""",
-    "price_spread": _L + _SPREAD.format(src="l") + f"SELECT mat_code, n_sources, round(low, 8) AS low, round(high, 8) AS high, sources, round(total_amount, 2) AS total_amount, round(high - low, 8) AS range, round({_PCT.format(a='low', b='high')}, 8) AS spread_pct FROM g",
-    "price_spread_category": _L + _SPREAD.format(src="(SELECT * FROM l WHERE contains(mat_category, '材'))") + f"SELECT mat_code, n_sources, round(low, 8) AS low, round(high, 8) AS high, round({_PCT.format(a='low', b='high')}, 8) AS spread_pct FROM g",
-    "repeat_purchase": _L + """SELECT mat_code, count(*) AS n, round(sum(total_ex_tax), 2) AS total_amount, round(coalesce(sum(qty), 0), 2) AS total_qty, round(avg(price_ex_tax), 8) AS avg_price, count(DISTINCT supplier_code) AS n_sources,
+    "price_spread": _L + _SPREAD.format(src="l") + f"SELECT mat_code, n_sources, round(low, 10) AS low, round(high, 10) AS high, sources, round(total_amount, 2) AS total_amount, round(high - low, 10) AS range, round({_PCT.format(a='low', b='high')}, 10) AS spread_pct FROM g",
+    "price_spread_category": _L + _SPREAD.format(src="(SELECT * FROM l WHERE contains(mat_category, '材'))") + f"SELECT mat_code, n_sources, round(low, 10) AS low, round(high, 10) AS high, round({_PCT.format(a='low', b='high')}, 10) AS spread_pct FROM g",
+    "repeat_purchase": _L + """SELECT mat_code, count(*) AS n, round(sum(total_ex_tax), 2) AS total_amount, round(coalesce(sum(qty), 0), 2) AS total_qty, round(avg(price_ex_tax), 10) AS avg_price, count(DISTINCT supplier_code) AS n_sources,
       strftime(min(day), '%Y-%m-%d') AS first_date, strftime(max(day), '%Y-%m-%d') AS last_date FROM l WHERE mat_code IS NOT NULL GROUP BY 1 HAVING count(*) >= 2""",
     "repeat_purchase_category": _L + "SELECT mat_code, count(*) AS n, round(sum(total_ex_tax), 2) AS total_amount, count(DISTINCT supplier_code) AS n_sources FROM l WHERE mat_category = '线材' AND mat_code IS NOT NULL GROUP BY 1 HAVING count(*) >= 2",
-    "price_trend_monthly": _L + _TREND + "SELECT mat_code, month, round(avg_price, 8) AS avg_price, round(amount, 2) AS amount, round(qty, 2) AS qty FROM m",
+    "price_trend_monthly": _L + _TREND + "SELECT mat_code, month, round(avg_price, 10) AS avg_price, round(amount, 2) AS amount, round(qty, 2) AS qty FROM m",
     "price_trend_change": _L + _TREND + f""", c AS (SELECT mat_code, arg_min(avg_price, month) AS x, arg_max(avg_price, month) AS y, count(*) AS n_steps FROM m WHERE avg_price IS NOT NULL GROUP BY 1)
-      SELECT mat_code, round(x, 8) AS first_value, round(y, 8) AS last_value, n_steps, round({_PCT.format(a='x', b='y')}, 3) AS change_pct FROM c""",
+      SELECT mat_code, round(x, 10) AS first_value, round(y, 10) AS last_value, n_steps, round({_PCT.format(a='x', b='y')}, 3) + 0.0 AS change_pct FROM c""",
     "supplier_ranking": _L + """, s AS (SELECT supplier_code, round(sum(total_ex_tax), 2) AS amount, count(*) AS n_lines, count(DISTINCT mat_code) AS n_materials FROM l WHERE supplier_code IS NOT NULL GROUP BY 1),
       p AS (SELECT *, round(amount / sum(amount) OVER () * 100, 2) AS share_pct FROM s)
       SELECT *, round(sum(share_pct) OVER (ORDER BY amount DESC, supplier_code ROWS UNBOUNDED PRECEDING), 2) AS running_pct, row_number() OVER (ORDER BY amount DESC, supplier_code) AS rank FROM p""",
@@ -213,9 +213,9 @@ SQL = {
       count(*) FILTER (unit IS NULL)::VARCHAR AS lines_without_unit, strftime(min(day), '%Y-%m-%d') AS first_day, strftime(max(day), '%Y-%m-%d') AS last_day FROM l)
       SELECT metric, value FROM (UNPIVOT o ON COLUMNS(*) INTO NAME metric VALUE value)""",
     "price_vs_same_day": _L + f""", t AS (SELECT * FROM l WHERE day = {_T}), h AS (SELECT mat_code, avg(price_ex_tax) AS m, count(*) AS n FROM t WHERE price_ex_tax IS NOT NULL GROUP BY 1 HAVING count(*) >= 2)
-      SELECT row_id, mat_code, price_ex_tax, round(m, 8) AS mean_value, n AS n_history, round({_PCT.format(a='m', b='price_ex_tax')}, 3) AS deviation_pct FROM t JOIN h USING (mat_code)""",
+      SELECT row_id, mat_code, price_ex_tax, round(m, 10) AS mean_value, n AS n_history, round({_PCT.format(a='m', b='price_ex_tax')}, 3) + 0.0 AS deviation_pct FROM t JOIN h USING (mat_code)""",
     "price_vs_history": _L + f""", h AS (SELECT mat_code, avg(price_ex_tax) AS m, count(*) AS n FROM l WHERE day < {_T} AND price_ex_tax IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
-      d AS (SELECT row_id, mat_code, price_ex_tax, round(m, 8) AS mean_value, n AS n_history, round({_PCT.format(a='m', b='price_ex_tax')}, 3) AS deviation_pct FROM l JOIN h USING (mat_code) WHERE day >= {_T})
+      d AS (SELECT row_id, mat_code, price_ex_tax, round(m, 10) AS mean_value, n AS n_history, round({_PCT.format(a='m', b='price_ex_tax')}, 3) + 0.0 AS deviation_pct FROM l JOIN h USING (mat_code) WHERE day >= {_T})
       SELECT *, CASE WHEN abs(deviation_pct) >= 50 THEN 'high' WHEN abs(deviation_pct) >= 20 THEN 'medium' END AS band FROM d""",
     "orphan_lines": f"""SELECT row_id, l.material_id, CASE WHEN m.material_id IS NOT NULL THEN m.name ELSE l.mat_name END AS mat_name, s.available, m.material_id IS NULL OR s.material_id IS NULL AS orphan
       FROM (SELECT DISTINCT row_id, material_id, mat_name FROM po_line) l LEFT JOIN {_NAMES} m USING (material_id) LEFT JOIN {_STOCK} s USING (material_id)""",
