@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.session import spread
+
 #: Where the vocabulary file of byte_bpe_50k lies; a parameter of every function here.
 DEFAULT_RANKS = os.environ.get("PLUMBLINE_BPE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: The public pattern that splits text before the merges. Fixed value.
@@ -225,4 +227,4 @@ def encode_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str
                     value = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*keys, value], names=names)
 
-    return documents.select(*columns).mapInArrow(run, schema)
+    return spread(documents.select(*columns)).mapInArrow(run, schema)

@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import spread
+
 #: Private-use placeholders: a masked mark, an empty line, a line break before a list item, a sentence end, and a mark that follows another in a run.
 _MASK, _PARA, _ITEM, _SEP, _MORE = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
 _HSPACE = " \t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -164,7 +166,8 @@ def sentence_spans(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     letters without a meaning.
     """
     blanks = F.lit(_BLANKS)
-    rows = documents.where(F.col(text).isNotNull()).select(F.col(doc_id), F.explode(F.array(_replaced(F.col(text), _steps()))).alias("t"))
+    texts = spread(documents.where(F.col(text).isNotNull()).select(F.col(doc_id), F.col(text)))
+    rows = texts.select(F.col(doc_id), F.explode(F.array(_replaced(F.col(text), _steps()))).alias("t"))
     # Each explode of a one-element array is a barrier: what it holds is computed once per text.
     for signs, pattern, replacement in _pair_steps():
         paired = F.when(reduce(lambda a, b: a | b, [F.contains("t", F.lit(o)) for o in signs]), F.regexp_replace("t", pattern, replacement)).otherwise(F.col("t"))
