@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Everything that counts as white space around a value, Unicode spaces and invisible marks included.
-_EDGE = r"[\s\u0085 ­ ᠎ -‏ -  -⁤　﻿]+"
+_EDGE = "[\\s\u0085 ­ ᠎ -‏ -  -⁤　﻿]+"
 
 
 def strip(c: Column) -> Column:
