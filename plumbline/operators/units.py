@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import measures
 from plumbline.functions.text import is_blank
-from plumbline.session import cut_lineage, spread
+from plumbline.session import cut_lineage
 
 
 @F.pandas_udf(T.StructType([T.StructField("scale", T.DoubleType()), T.StructField("dim", T.StringType())]))
@@ -65,10 +65,10 @@ def same_price_pairs(records: DataFrame, tolerance: float = 0.001) -> DataFrame:
     exact repeats count once; a null record_id takes no part. Records that share price and basis
     form one class; classes are joined, not records, so a hot entity with one price costs one row.
     """
-    priced = price_per_common_unit(spread(
+    priced = price_per_common_unit(
         records.where(~is_blank(F.col("material_id")) & ~is_blank(F.col("supplier_id")) & (F.col("unit_price") > 0) & F.col("record_id").isNotNull())
         .select("record_id", "material_id", "supplier_id", "unit_price", "material_unit", "material_desc")
-    ))
+    )
     width = math.log1p(2 * tolerance)
     # Read four times below, so the texts are parsed once and the few columns written.
     known = cut_lineage(priced.where(F.col("common_price").isNotNull() & (F.col("common_price") < float("inf"))).select(
