@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import first_number, price_in_text, strict_number
@@ -47,16 +47,21 @@ def form_values(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", named_value(form, "k").alias("k"), named_value(form, "type").alias("type"), named_value(form, "none").alias("missing"))
 
 
+def _cell(form: str, number: Column) -> Column:
+    """A number as a table cell; null is an empty one."""
+    return F.when(number.isNull(), "").otherwise(F.format_string(form, number))
+
+
 def _orders_as_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Each order as a pasted table: a header, a line per row, and a totals line."""
-    lines = table(spark, sf, "po_line").select("order_no", "row_id", "mat_code", "qty", "price_ex_tax", "total_ex_tax").distinct().where("mat_code is not null and qty is not null and price_ex_tax is not null and total_ex_tax is not null and qty >= 1 and price_ex_tax >= 0.01")
-    row = F.concat_ws("\t", "mat_code", F.lit("个"), F.format_string("%.4f", "qty"), F.format_string("%.4f", "price_ex_tax"), F.format_string("%.4f", "total_ex_tax"))
+    """Each order as a pasted table: a header, a line per row, and a totals line; what is null is an empty cell."""
+    lines = table(spark, sf, "po_line").select("order_no", "row_id", "mat_code", "qty", "price_ex_tax", "total_ex_tax").distinct()
+    row = F.concat_ws("\t", F.coalesce("mat_code", F.lit("")), F.lit("个"), *[_cell("%.4f", F.col(c)) for c in ("qty", "price_ex_tax", "total_ex_tax")])
     rows = lines.groupBy("order_no").agg(F.array_sort(F.collect_list(F.struct("row_id", row.alias("t")))).alias("r"))
     return rows.select("order_no", F.concat(F.lit("名称\t单位\t数量\t单价（元）\t金额\n"), F.array_join(F.col("r.t"), "\n"), F.lit("\n合计：见上\n")).alias("text"))
 
 
 def pasted_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """The rows of pasted tables."""
+    """The rows of pasted tables, missing numbers as null; a line without a name counts as a line but is no row (``parse_table``)."""
     t = _orders_as_text(spark, sf)
     return t.lateralJoin(TableRows(F.col("text").outer())).select("order_no", "line", "name", "unit", "qty", "price", "amount")
 
