@@ -67,9 +67,12 @@ def pasted_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _counts_as_text(spark: SparkSession, sf: str) -> DataFrame:
-    """The stock of each plant as pasted stock counts, one for every hundred material numbers, with a totals line; every tenth row's difference is misstated by one."""
-    s = table(spark, sf, "available_stock").where(~is_blank(F.col("material_id")) & (F.col("available_qty") >= 0) & F.col("plant_no").isNotNull()).select("row_id", F.concat("plant_no", F.lit("/"), F.substring("material_id", 1, 8)).alias("sheet"), "material_id", F.round("available_qty", 1).alias("q")).distinct()
-    n = lambda c: F.format_string("%.1f", c)
+    """The stock of each plant as pasted stock counts, one for every hundred material numbers, with a totals line; every tenth row's difference is misstated by one.
+
+    A null quantity leaves its cells empty, negative ones stay; rows without plant have sheets of their own, named without plant.
+    """
+    s = table(spark, sf, "available_stock").where(~is_blank(F.col("material_id"))).select("row_id", F.concat(F.coalesce("plant_no", F.lit("")), F.lit("/"), F.substring("material_id", 1, 8)).alias("sheet"), "material_id", F.round("available_qty", 1).alias("q")).distinct()
+    n = lambda c: _cell("%.1f", c)
     diff = F.when(F.col("row_id") % 10 == 0, 1.0).otherwise(0.0)
     row = F.concat_ws("\t", "material_id", F.lit("x"), n(F.col("q")), n(F.lit(5.0)), n(F.lit(2.0)), n(F.col("q") + 3), n(F.col("q") + 3), n(diff))
     rows = s.groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("row_id", row.alias("t")))).alias("r"), n(F.sum("q")).alias("opening"))
@@ -78,7 +81,7 @@ def _counts_as_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stock_count_findings(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of pasted stock counts whose book or difference quantity does not follow from the others."""
+    """Rows of pasted stock counts that lack a quantity (P1), or whose book or difference quantity does not follow from the others (P0)."""
     rows = _counts_as_text(spark, sf).lateralJoin(StockRows(F.col("text").outer())).where("not is_total")
     book = F.col("opening") + F.col("in_qty") - F.col("out_qty")
     equations = [("book", book, F.col("book_qty"), 0.005), ("difference", F.col("actual_qty") - F.col("book_qty"), F.col("diff_qty"), 0.005)]
@@ -86,7 +89,7 @@ def stock_count_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stock_count_totals(spark: SparkSession, sf: str) -> DataFrame:
-    """Stated total and sum of the opening quantities of each pasted stock count."""
+    """Stated total and sum of the opening quantities of each pasted stock count; null where no row has one."""
     rows = _counts_as_text(spark, sf).lateralJoin(StockRows(F.col("text").outer()))
     return rows.groupBy("sheet").agg(F.round(F.sum(F.when(~F.col("is_total"), F.col("opening"))), 1).alias("summed"), F.round(F.max(F.when(F.col("is_total"), F.col("opening"))), 1).alias("stated"))
 

@@ -28,3 +28,18 @@ def test_pasted_tables_hold_every_line(spark, folder):
     want = [("a", 2, 2.0, 3.0, 6.0), ("b", 3, None, 4.0, 8.0), ("c", 5, 0.5, 0.004, 0.002), ("d", 6, 1.0, None, None), ("e", 7, -1.0, 2.0, -2.0)]
     # Line 4 has no name and order p no number: lines, but no rows of a table.
     assert got == collections.Counter(("o", line, name, "个", qty, price, amount) for name, line, qty, price, amount in want)
+
+
+STOCK = (
+    [(1, "M0000001x1", "p", 5.0), (1, "M0000001x1", "p", 5.0), (2, "M0000001x2", "p", -2.5), (3, "M0000001x3", "p", None), (10, "M0000001x4", "p", -1.0), (20, "M0000001x5", None, None), (30, "M0000001x6", None, 4.0), (4, "M0000002x1", "q", None), (5, " ", "p", 1.0)],
+    "row_id long, material_id string, plant_no string, available_qty double",
+)
+
+
+def test_stock_counts_hold_every_quantity(spark, folder):
+    from plumbline.plans.texts import stock_count_findings, stock_count_totals
+
+    sf = folder(available_stock=STOCK)
+    findings = [("P1", "missing", "p/M0000001/M0000001x3"), ("P0", "difference", "p/M0000001/M0000001x4"), ("P1", "missing", "/M0000001/M0000001x5"), ("P0", "difference", "/M0000001/M0000001x6"), ("P1", "missing", "q/M0000002/M0000002x1")]
+    assert rows_of(stock_count_findings(spark, sf)) == collections.Counter((*f, 1) for f in findings)
+    assert rows_of(stock_count_totals(spark, sf)) == collections.Counter([("p/M0000001", 1.5, 1.5), ("/M0000001", 4.0, 4.0), ("q/M0000002", None, None)])
