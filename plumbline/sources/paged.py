@@ -11,6 +11,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -88,33 +89,47 @@ def scan_pages(spark: SparkSession, fetch: Callable[[int, int], object], *, size
     return (out if out is not None else spark.createDataFrame([], PAGE_SCHEMA)), True
 
 
+def _marked(rows: list[tuple], none: tuple, truncated: bool) -> Iterator[tuple]:
+    """Rows with the mark whether others were left out behind them; the row ``none`` carries it where there are no rows."""
+    for r in rows or ([none] if truncated else []):
+        yield *r, truncated
+
+
 class _PagePartition(InputPartition):
-    def __init__(self, page: int, path: str):
-        self.page, self.path = page, path
+    def __init__(self, page: int, path: str, truncated: bool):
+        self.page, self.path, self.truncated = page, path, truncated
 
 
 class _PageReader(DataSourceReader):
     def __init__(self, options):
-        self.folder, self.max_pages, self.size = options["path"], int(options.get("maxPages", "1000")), int(options.get("size", "100"))
+        self.folder, self.max_pages, self.size = options["path"], options.get("maxPages"), int(options.get("size", "100"))
+        if self.max_pages is not None and int(self.max_pages) < 1:
+            raise ValueError("maxPages must be at least 1")
 
     def partitions(self):
         found = sorted((int(m[1]), f) for f in os.listdir(self.folder) if (m := re.fullmatch(r"page-(\d+)\.json", f)))
-        return [_PagePartition(n, os.path.join(self.folder, f)) for n, f in found[: self.max_pages]]
+        end = len(found) if self.max_pages is None else min(int(self.max_pages), len(found))
+        return [_PagePartition(n, os.path.join(self.folder, f), i == end and end < len(found)) for i, (n, f) in enumerate(found[:end], 1)]
 
     def read(self, partition):
         with open(partition.path, encoding="utf-8") as f:
-            yield from _rows(partition.page, normalize(json.load(f), self.size))
+            yield from _marked(list(_rows(partition.page, normalize(json.load(f), self.size))), (partition.page, -1, None), partition.truncated)
 
 
 class PagedJson(DataSource):
-    """``spark.dataSource.register(PagedJson)``, then ``spark.read.format("paged_json").load(folder)``."""
+    """``spark.dataSource.register(PagedJson)``, then ``spark.read.format("paged_json").load(folder)``.
+
+    All pages are read unless the option ``maxPages`` is set. If it leaves pages out, the rows of
+    the last page read are marked ``truncated``; where that page has none, one with ordinal -1 and
+    null item is.
+    """
 
     @classmethod
     def name(cls):
         return "paged_json"
 
     def schema(self):
-        return PAGE_SCHEMA
+        return PAGE_SCHEMA + ", truncated boolean"
 
     def reader(self, schema):
         return _PageReader(self.options)
@@ -122,7 +137,7 @@ class PagedJson(DataSource):
 
 def merged_chunks(pages: DataFrame, key: str = "$.id") -> DataFrame:
     """Rows of several scans by their key: the last in the order of page and position wins."""
-    keyed = pages.withColumn("key", F.get_json_object("item", key))
+    keyed = pages.where("item is not null").withColumn("key", F.get_json_object("item", key))
     return keyed.groupBy("key").agg(F.max_by("item", F.struct("page", "ordinal")).alias("item"), F.min(F.struct("page", "ordinal")).alias("first"))
 
 
@@ -158,19 +173,28 @@ def scan_slices(
     return got.groupBy("id").agg(F.max("item").alias("item"), F.bool_and("incomplete").alias("incomplete"))
 
 
-def scan_cursor(spark: SparkSession, fetch: Callable[[str | None], tuple[list[dict], str | None]], max_calls: int = 1000) -> DataFrame:
-    """(call, item) of a service that hands on a cursor; calls follow one another in one task that yields as it reads."""
+def scan_cursor(spark: SparkSession, fetch: Callable[[str | None], tuple[list[dict], str | None]], max_calls: int | None = None) -> DataFrame:
+    """(call, item, truncated) of a service that hands on a cursor; calls follow one another in one task that yields as it reads.
+
+    The cursor is followed to its end unless ``max_calls`` is set. If it stops the calls with a
+    cursor still open, the rows of the last call are marked truncated; where that call has none,
+    one with null item is.
+    """
+    if max_calls is not None and max_calls < 1:
+        raise ValueError("max_calls must be at least 1")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _ in batches:
             cursor = None
-            for n in range(max_calls):
+            for n in count():
                 rows, cursor = fetch(cursor)
-                yield pd.DataFrame({"call": [n] * len(rows), "item": [json.dumps(r, ensure_ascii=False) for r in rows]}).astype({"call": "int64"})
-                if not cursor:
+                last = n + 1 == max_calls
+                got = list(_marked([(n, json.dumps(r, ensure_ascii=False)) for r in rows], (n, None), last and bool(cursor)))
+                yield pd.DataFrame(got, columns=["call", "item", "truncated"]).astype({"call": "int64", "truncated": "bool"})
+                if last or not cursor:
                     break
 
-    return spark.range(1).coalesce(1).mapInPandas(run, "call long, item string")
+    return spark.range(1).coalesce(1).mapInPandas(run, "call long, item string, truncated boolean")
 
 
 def fetch_details(ids: DataFrame, fetch: Callable[[str], object], *, id: str, threads: int = 8) -> DataFrame:

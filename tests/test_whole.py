@@ -43,3 +43,29 @@ def test_stock_counts_hold_every_quantity(spark, folder):
     findings = [("P1", "missing", "p/M0000001/M0000001x3"), ("P0", "difference", "p/M0000001/M0000001x4"), ("P1", "missing", "/M0000001/M0000001x5"), ("P0", "difference", "/M0000001/M0000001x6"), ("P1", "missing", "q/M0000002/M0000002x1")]
     assert rows_of(stock_count_findings(spark, sf)) == collections.Counter((*f, 1) for f in findings)
     assert rows_of(stock_count_totals(spark, sf)) == collections.Counter([("p/M0000001", 1.5, 1.5), ("/M0000001", 4.0, 4.0), ("q/M0000002", None, None)])
+
+
+def test_all_landed_pages_are_read(spark, tmp_path):
+    from plumbline.sources.paged import PagedJson, _PageReader
+
+    for n in range(1003):
+        (tmp_path / f"page-{n}.json").write_text('{"items": [%s]}' % ("" if n == 1 else n))
+    assert len(_PageReader({"path": str(tmp_path)}).partitions()) == 1003
+    spark.dataSource.register(PagedJson)
+    read = lambda k: [(r.page, r.item, r.truncated) for r in spark.read.format("paged_json").option("maxPages", k).load(str(tmp_path)).orderBy("page").collect()]
+    assert read(1) == [(0, "0", True)] and read(2) == [(0, "0", False), (1, None, True)]
+    assert not any(p.truncated for p in _PageReader({"path": str(tmp_path), "maxPages": "1003"}).partitions())
+
+
+def test_cursor_is_followed_to_its_end(spark):
+    from plumbline.sources.paged import scan_cursor
+
+    def fetch(cursor):
+        n = int(cursor or 0)
+        return [] if n == 1 else [{"n": n}], str(n + 1) if n < 1004 else None
+
+    got = scan_cursor(spark, fetch)
+    assert got.count() == 1004 and got.where("truncated").count() == 0
+    cut = lambda k: [tuple(r) for r in scan_cursor(spark, fetch, max_calls=k).collect()]
+    assert cut(1) == [(0, '{"n": 0}', True)] and cut(2) == [(0, '{"n": 0}', False), (1, None, True)]
+    assert scan_cursor(spark, fetch, max_calls=1005).where("truncated").count() == 0
