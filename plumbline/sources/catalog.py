@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,16 +126,22 @@ def get(spark: SparkSession, folder: str, entity: str, key: str, value: object)
     return scan(spark, folder, entity).where(F.col(key) == F.lit(value)).limit(1)
 
 
-def descendants(edges: DataFrame, roots: DataFrame, *, parent: str = "parent", child: str = "child", max_depth: int = 100) -> DataFrame:
-    """(root, node, depth) of trees given as edges, by joins level by level; a node met again is not followed twice."""
+def descendants(edges: DataFrame, roots: DataFrame, *, parent: str = "parent", child: str = "child", max_depth: int | None = None) -> DataFrame:
+    """(root, node, depth) of trees given as edges, by joins level by level until one is empty; a node met again is not followed twice.
+
+    With ``max_depth`` set, nodes below it are an error.
+    """
     from plumbline.session import cut_lineage
 
     level = roots.select(F.col(roots.columns[0]).alias("root"), F.col(roots.columns[0]).alias("node"), F.lit(0).alias("depth")).distinct()
     seen = level = cut_lineage(level)
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         nxt = level.join(edges.select(F.col(parent).alias("node"), F.col(child).alias("next")), "node").select("root", F.col("next").alias("node"), F.lit(depth).alias("depth")).distinct()
         level = cut_lineage(nxt.join(seen.select("root", "node"), ["root", "node"], "left_anti"))
         if level.isEmpty():
-            break
+            return seen
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"nodes below depth {max_depth}")
         seen = seen.unionByName(level)
-    return seen
+        if depth % 20 == 0:
+            seen = cut_lineage(seen)

@@ -69,3 +69,13 @@ def test_cursor_is_followed_to_its_end(spark):
     cut = lambda k: [tuple(r) for r in scan_cursor(spark, fetch, max_calls=k).collect()]
     assert cut(1) == [(0, '{"n": 0}', True)] and cut(2) == [(0, '{"n": 0}', False), (1, None, True)]
     assert scan_cursor(spark, fetch, max_calls=1005).where("truncated").count() == 0
+
+
+def test_tree_is_followed_to_its_end(spark):
+    from plumbline.sources.catalog import descendants
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "parent string, child string")
+    root = spark.createDataFrame([("a",)], "r string")
+    assert descendants(edges, root, max_depth=3).count() == 4
+    with pytest.raises(ValueError, match="below depth 2"):
+        descendants(edges, root, max_depth=2)
