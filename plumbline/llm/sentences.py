@@ -5,7 +5,7 @@ inside quotes, brackets and titles) are masked by a private-use placeholder of t
 ``regexp_replace`` after another. What is left of the end marks, empty lines, list items and Thai
 spaces then get a separator behind them, the text is split there, and the offsets of the pieces are
 added up. Masking never changes the length, so the offsets are those of the text itself, from
-which the sentences are cut again.
+which the sentences are cut again where they are asked for.
 
 Everything happens in the row of the text: no shuffle, no Python.
 """
@@ -157,14 +157,18 @@ def _mask_inside(text: Column, opening: str, closing: str, marks: str) -> Column
     return F.when(F.contains(text, F.lit(closing)), F.array_join(masked, "")).otherwise(text)
 
 
-def sentence_spans(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sentence_spans(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sentence: str | None = None) -> DataFrame:
     """(doc_id, sent_start, sent_end): 0-based code-point offsets of the first character and behind the last.
 
     White space around a sentence is left out; null, empty and white-space texts have none. One
     set of spans per row; a repeated row gives repeated spans. Texts are split whole, however
     long; other columns are not read. Private-use characters U+E000 to U+E0FF of a text count as
-    letters without a meaning.
+    letters without a meaning. With ``sentence`` a column of that name holds the sentence itself.
     """
+    if sentence is not None:
+        found = sentence_spans(documents.select(F.struct(doc_id, text).alias("d"), F.col(text).alias("text")), doc_id="d")
+        cut = F.substring(F.col("d")[text], F.col("sent_start") + 1, F.col("sent_end") - F.col("sent_start"))
+        return found.select(F.col("d")[doc_id].alias(doc_id), "sent_start", "sent_end", cut.alias(sentence))
     blanks = F.lit(_BLANKS)
     texts = spread(documents.where(F.col(text).isNotNull()).select(F.col(doc_id), F.col(text)))
     rows = texts.select(F.col(doc_id), F.explode(F.array(_replaced(F.col(text), _steps()))).alias("t"))
