@@ -132,9 +132,9 @@ def same_text_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def one_to_one_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Materials paired by equal name and maker, each once; the rest by equal name and category."""
-    d = _described(spark, sf).where("subcat is not null").select("code", "name", "manufacturer", "cat").groupBy("code").agg(F.min("name").alias("name"), F.min("manufacturer").alias("manufacturer"), F.min("cat").alias("cat"))
-    return greedy_pairs(d, [[F.col("name"), F.col("manufacturer")], [F.col("name"), F.col("cat")]], key="code")
+    """Materials paired by equal name, each once; the rest by equal description."""
+    d = _described(spark, sf).groupBy("code").agg(F.min("name").alias("name"), F.min("mat_desc").alias("mat_desc"))
+    return greedy_pairs(d, [[F.col("name")], [F.col("mat_desc")]], key="code")
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:

@@ -88,3 +88,11 @@ def test_sentences_are_cut_from_the_text(spark):
     got = sentence_spans(df, sentence="sentence")
     assert got.columns == ["doc_id", "sent_start", "sent_end", "sentence"]
     assert rows_of(got) == collections.Counter([(1, 1, 4, "😀好。"), (1, 4, 8, "Why?"), (1, 9, 12, "x."), (1, 0, 4, "A b.")])
+
+
+def test_pairs_by_name_then_description(spark, folder):
+    from plumbline.plans.master import one_to_one_pairs
+
+    schema = "code string, cat string, subcat string, name string, mat_desc string, manufacturer string, unit string, lead_time string"
+    rows = [("1", "x", None, "n", "d", "m", "u", "l"), ("2", "y", "s", "n", "e", "k", "u", "l"), ("3", "x", "s", "n", "f", "m", "u", "l"), ("4", "y", "s", "o", "f", "k", "u", "l"), ("5", "y", "s", "p", "g", "k", "u", "l")]
+    assert rows_of(one_to_one_pairs(spark, folder(material=(rows, schema)))) == collections.Counter([("1", "2", 1), ("3", "4", 2)])
