@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import narrow_digits, strip
 
-_DAY_FIRST = r"^(\d{1,2})\.(\d{1,2})\.(\d{4})(?:[T ].*)?$"
-_YEAR_FIRST = r"^(\d{4})[-/.年](\d{1,2})[-/.月](\d{1,2})日?(?:[T ]?\d{1,2}[:时].*)?$"
-_COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
+#: One pattern for all notations, so that a text is matched once: year first, day first with dots, eight digits, anything else.
+_NOTATIONS = (
+    r"^(?:(\d{4})[-/.年](\d{1,2})[-/.月](\d{1,2})日?(?:[T ]?\d{1,2}[:时].*)?"
+    r"|(\d{1,2})\.(\d{1,2})\.(\d{4})(?:[T ].*)?"
+    r"|(\d{4})(\d{2})(\d{2})"
+    r"|[\s\S]*)$"
+)
+#: Its groups as year-month-day; groups that did not take part are empty.
+_ISO = "$1$6$7-$2$5$8-$3$4$9"
 _SERIAL = r"^(\d{1,6})(?:\.\d+)?$"
 #: Day 0 of the day counts that spreadsheets keep, in days before 1970-01-01.
 _SHEET_EPOCH = 25569
@@ -23,23 +29,15 @@ def parse_day(c: Column) -> Column:
     spreadsheet's day count. Days that no calendar has (30 February) give null.
     """
     s = strip(narrow_digits(c))
-
-    def day(pattern: str, y: int, m: int, d: int) -> Column:
-        part = lambda k, n: F.lpad(F.regexp_extract(s, pattern, k), n, "0")
-        return F.when(s.rlike(pattern), F.try_to_date(F.concat_ws("-", part(y, 4), part(m, 2), part(d, 2)), "yyyy-MM-dd"))
-
-    serial = F.when(
-        s.rlike(_SERIAL),
-        F.date_from_unix_date(F.regexp_extract(s, _SERIAL, 1).try_cast("int") - F.lit(_SHEET_EPOCH)),
-    )
-    return F.coalesce(day(_DAY_FIRST, 3, 2, 1), day(_YEAR_FIRST, 1, 2, 3), day(_COMPACT, 1, 2, 3), serial)
+    written = F.regexp_replace(s, _NOTATIONS, _ISO).try_cast("date")
+    serial = F.when(s.rlike(_SERIAL), F.date_from_unix_date(F.regexp_extract(s, _SERIAL, 1).try_cast("int") - F.lit(_SHEET_EPOCH)))
+    return F.coalesce(written, serial)
 
 
 def time_of_day(c: Column) -> Column:
     """``HH:mm:ss`` behind the date in a text, or an empty string; it orders moments of one day."""
-    s = strip(narrow_digits(c))
-    hour = F.regexp_extract(s, r"[T ](\d{1,2}):\d{2}", 1)
-    return F.when(hour != "", F.concat(F.lpad(hour, 2, "0"), F.regexp_extract(s, r"[T ]\d{1,2}(:\d{2}(?::\d{2})?)", 1))).otherwise(F.lit(""))
+    time = F.regexp_extract(narrow_digits(F.coalesce(c, F.lit(""))), r"[T ](\d{1,2}:\d{2}(?::\d{2})?)", 1)
+    return F.when(F.substring(time, 2, 1) == ":", F.concat(F.lit("0"), time)).otherwise(time)
 
 
 def zone_millis(c: Column, zone: str = "Asia/Shanghai") -> Column:

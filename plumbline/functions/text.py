@@ -6,22 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Everything that counts as white space around a value, Unicode spaces and invisible marks included.
-_EDGE = "[\\s\u0085 ­ ᠎ -‏ -  -⁤　﻿]+"
+_EDGES = "\t\n\x0b\x0c\r \x85\xa0\xad\u1680\u180e\u2028\u2029\u202a\u202b\u202c\u202d\u202e\u202f\u3000\ufeff" + "".join(map(chr, [*range(0x2000, 0x2010), *range(0x205F, 0x2065)]))
+_EDGE = f"[{_EDGES}]+"
 
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends; null stays null."""
-    return F.regexp_replace(c, f"^{_EDGE}|{_EDGE}$", "")
+    return F.btrim(c.cast("string"), F.lit(_EDGES))
 
 
 def is_blank(c: Column) -> Column:
     """Null, empty or white space only; never null itself."""
-    return F.coalesce(strip(c) == "", F.lit(True))
+    # Trimmed on the left alone: that ends at the first character which is no white space, however long the text.
+    return F.coalesce(F.ltrim(c.cast("string"), F.lit(_EDGES)) == "", F.lit(True))
 
 
 def narrow_digits(c: Column) -> Column:
     """Full-width digits and the signs of dates and numbers as their ASCII forms."""
-    return F.translate(c, "０１２３４５６７８９／－．，：＋￥　", "0123456789/-.,:+¥ ")
+    narrow = F.translate(c, "０１２３４５６７８９／－．，：＋￥　", "0123456789/-.,:+¥ ")
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(narrow)  # ASCII holds none of them
 
 
 #: Words and signs that stand for "none", "unknown" or "still open"; compared in lower case, without white space. Fixed values.
