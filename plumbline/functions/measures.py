@@ -98,31 +98,47 @@ CONTAINERS = {word: words.split()[0] for words in _CONTAINER_WORDS for word in w
 
 _NUMBER = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
 _ATOMS = "|".join(sorted(map(re.escape, [*UNITS, *CONTAINERS]), key=lambda w: (-len(w), w)))
+#: Where a word ends: a Latin one before anything but a Latin letter, any other one at once.
+_END = "(?:(?<![a-zà-ÿ])|(?![a-zà-ÿ]))"
 #: A word that itself begins with a multiple's sign (千克) is tried before a multiple and a word (千只).
-_TERM = re.compile(rf"\s*(?P<n>{_NUMBER})?\s*(?:(?P<atom>{_ATOMS})|(?P<mult>[十百千万])\s*(?P<of>{_ATOMS}))(?![a-zà-ÿ])(?P<exp>[²³]|\^-?\d|[23](?!\d))?\.?")
+_TERM = re.compile(rf"\s*(?P<n>{_NUMBER})?\s*(?:(?P<atom>{_ATOMS})|(?P<mult>[十百千万])\s*(?P<of>{_ATOMS})){_END}(?P<exp>[²³]|\^-?\d|[23](?!\d))?\.?")
 _OPERATOR = re.compile(r"\s*(/|·|\*|⋅|per\b)\s*")
 _EXPONENTS = {"²": 2, "³": 3}
 
 
+def _kept_case(text: str) -> str:
+    """Compatibility form without invisible characters; superscripts stay."""
+    if not text.isascii():
+        kept = text.replace("²", "\ue002").replace("³", "\ue003")
+        if not unicodedata.is_normalized("NFKC", kept):
+            kept = unicodedata.normalize("NFKC", kept)
+        if not kept.isprintable():  # no invisible character is printable
+            kept = "".join(c for c in kept if unicodedata.category(c) != "Cf")
+        text = kept.replace("\ue002", "²").replace("\ue003", "³")
+    return " ".join(text.split())
+
+
 def plain(text: str | None) -> str:
     """Compatibility form without invisible characters, in lower case; superscripts stay."""
-    if not text:
-        return ""
-    kept = text.replace("²", "\ue002").replace("³", "\ue003")
-    kept = "".join(c for c in unicodedata.normalize("NFKC", kept) if unicodedata.category(c) != "Cf")
-    return re.sub(r"\s+", " ", kept.replace("\ue002", "²").replace("\ue003", "³")).strip().lower()
+    return _kept_case(text).lower() if text else ""
+
+
+def plain_description(text: str | None) -> str:
+    """``plain``, with a space where a capital follows a small letter: ``bagA`` is a bag and an A, ``baga`` is one word."""
+    return re.sub(r"(?<=[a-zß-ÿ])(?=[A-Z])", " ", _kept_case(text)).lower() if text else ""
 
 
-def _term(text: str, at: int, contents: dict[str, tuple[float, str]] | None, depth: int = 0):
-    """The unit of the term at ``at`` and where it ends, or None."""
+def _term(text: str, at: int, contents: dict[str, tuple[float, str]] | None, inside: frozenset[str] = frozenset()):
+    """The unit of the term at ``at`` and where it ends, or None. ``inside``: the containers whose content is being read."""
     m = _TERM.match(text, at)
     if m is None:
         return None
     atom = m["atom"] or m["of"]
     unit = UNITS.get(atom)
     if unit is None:  # a container
-        content = (contents or {}).get(CONTAINERS[atom])
-        inner = _term(content[1], 0, contents, depth + 1) if content and depth < 4 else None
+        container = CONTAINERS[atom]
+        content = (contents or {}).get(container) if container not in inside else None  # a circle has no content
+        inner = _term(content[1], 0, contents, inside | {container}) if content else None
         if inner is None:
             return None
         unit = Unit(inner[0].scale * content[0], inner[0].dim)
@@ -156,12 +172,12 @@ _C, _U = _words(CONTAINERS), _words(w for w, u in UNITS.items() if sum(map(abs,
 _QTY = rf"(?<![\d.])(?:(?<![^\s(（:：;；【\[=每])(?P<q{{0}}>\d{{{{1,3}}}}(?:,\d{{{{3}}}})+(?:\.\d+)?)|(?P<p{{0}}>\d+(?:\.\d+)?))"
 #: Contents of a container: "50只/盒", "50只一盒", "每盒50只", "1盒=50只", "50 pcs per box", "box of 50 pcs".
 _CONTENT = [
-    re.compile(_QTY.format(0) + rf"\s*(?P<u0>{_U})\.?\s*(?:/|一|per\s+)\s*(?P<c0>{_C})(?![a-z])"),
-    re.compile(rf"(?:每|(?<![\d.])1\s*)(?P<c1>{_C})\s*(?:[=:装含]\s*)?" + _QTY.format(1) + rf"\s*(?P<u1>{_U}|{_C})(?![a-z])"),
-    re.compile(rf"(?P<c2>{_C})\s+of\s+" + _QTY.format(2) + rf"\s*(?P<u2>{_U})(?![a-z])"),
-    re.compile(_QTY.format(3) + rf"\s*(?P<u3>{_C})\s*(?:/|一|per\s+)\s*(?P<c3>{_C})(?![a-z])"),
+    re.compile(_QTY.format(0) + rf"\s*(?P<u0>{_U})\.?\s*(?:/|一|per\s+)\s*(?P<c0>{_C}){_END}"),
+    re.compile(rf"(?:每|(?<![\d.])1\s*)(?P<c1>{_C})\s*(?:[=:装含]\s*)?" + _QTY.format(1) + rf"\s*(?P<u1>{_U}|{_C}){_END}"),
+    re.compile(rf"(?P<c2>{_C})\s+of\s+" + _QTY.format(2) + rf"\s*(?P<u2>{_U}){_END}"),
+    re.compile(_QTY.format(3) + rf"\s*(?P<u3>{_C})\s*(?:/|一|per\s+)\s*(?P<c3>{_C}){_END}"),
 ]
-_N = rf"(?:(?:{_NUMBER})\s*)?[十百千万]?\s*(?:{_words([*UNITS, *CONTAINERS])})(?![a-z])"
+_N = rf"(?:(?:{_NUMBER})\s*)?[十百千万]?\s*(?:{_words([*UNITS, *CONTAINERS])}){_END}"
 #: Where a description states what the price is for. Fixed values.
 _BASIS = [
     re.compile(rf"(?:计价单位|价格单位|报价单位|单价单位)\s*(?:[:为是]\s*)?(?P<x>{_N})"),
@@ -194,18 +210,41 @@ class _AnyContainer(dict):
         return super().get(key) or (next(iter(self.values())) if len(self) == 1 else default)
 
 
+#: Signs of a statement that the patterns above look for: a content needs a number, a basis a word or sign of price.
+_HAS_CONTENT = re.compile(r"\d")
+_HAS_BASIS = re.compile(r"[价元¥$€]|rmb|cny|usd|eur|pric|quoted|sold|charged")
+
+
 @lru_cache(maxsize=200_000)
+def _stated(desc: str | None) -> tuple[str | None, dict[str, tuple[float, str]]]:
+    """(the price basis that a description states, contents of containers)."""
+    d = plain_description(desc)
+    contents = _AnyContainer(contents_of(d)) if _HAS_CONTENT.search(d) else {}
+    stated = [(m.start(), m["x"]) for p in _BASIS if (m := p.search(d))] if _HAS_BASIS.search(d) else []
+    return (min(stated)[1] if stated else None), contents
+
+
 def price_basis(unit: str | None, desc: str | None) -> tuple[float, tuple[int, ...]] | None:
     """(canonical units that one price covers, dimension), or None where that cannot be known.
 
     A basis stated in the description holds over the unit; a mere content or dimension there is
-    none. A container counts as its stated content; without one the basis is unknown.
+    none. A container counts as its stated content, however deeply nested; without one, or where
+    contents name each other in a circle, the basis is unknown.
     """
-    d = plain(desc)
-    contents = _AnyContainer(contents_of(d))
-    stated = [(m.start(), m["x"]) for p in _BASIS if (m := p.search(d))]
-    text = min(stated)[1] if stated else plain(unit)
-    got = parse_unit(text, contents) if text else None
+    basis, contents = _stated(desc)
+    text = _plain_unit(unit) if basis is None else basis
+    return _common(parse_unit(text, contents)) if contents else _basis_without_content(text)
+
+
+_plain_unit = lru_cache(maxsize=20_000)(plain)
+
+
+@lru_cache(maxsize=20_000)
+def _basis_without_content(text: str) -> tuple[float, tuple[int, ...]] | None:
+    return _common(parse_unit(text))
+
+
+def _common(got: Unit | None) -> tuple[float, tuple[int, ...]] | None:
     if got is None or not got.scale > 0 or sum(got.dim) != 1 or sum(map(abs, got.dim)) != 1 or any(got.dim[3:]):
         return None
     return got.scale, got.dim

@@ -15,7 +15,7 @@ from plumbline.functions.text import is_unfilled
 from plumbline.operators.intervals import DisjointIntervals, coverage, price_coverage
 from plumbline.operators.orphans import material_orphans, orphan_references, probe
 from plumbline.operators.snapshots import material_changes
-from plumbline.operators.units import price_per_common_unit, same_price_pairs, to_canonical
+from plumbline.operators.units import price_per_common_unit, same_price_classes, same_price_pairs, to_canonical
 
 INFO = "record_id long, material_id string, supplier_id string, unit_price double, material_unit string, material_desc string"
 
@@ -57,6 +57,22 @@ def test_unknown_basis(unit, desc):
     assert price_basis(unit, desc) is None
 
 
+@pytest.mark.parametrize(
+    ("unit", "desc", "scale"),
+    [
+        ("盒", "x 每盒50片A", 50), ("箱", "20只/箱A", 20), ("箱", "50只一箱A", 50), ("袋", "每包500颗A 计价单位：袋", 500), ("bag", "50 pcs/bagA", 50), ("见描述", "50 pcs per bagA；price per bag", 50), ("盘", "每盘200mA", 200),
+        ("箱", "1箱=2盒,1盒=3包,1包=4袋,1袋=5管,1管=6罐,1罐=7片", 5040),
+    ],
+)
+def test_basis_before_a_letter_and_deeply_nested(unit, desc, scale):
+    assert price_basis(unit, desc)[0] == pytest.approx(scale)
+
+
+@pytest.mark.parametrize(("unit", "desc"), [("bag", "50 pcs/baga"), ("bag", "50 pcsa/bag"), ("箱", "1箱=2盒,1盒=3箱")])
+def test_longer_words_and_circles_are_no_basis(unit, desc):
+    assert price_basis(unit, desc) is None
+
+
 def test_unit_expressions(spark):
     assert parse_unit("w/m·k").dim == (0, 1, 1, -3, 0, -1)
     assert parse_unit("mm²").scale == pytest.approx(1e-6)
@@ -76,6 +92,8 @@ def test_same_prices(spark):
     assert got == {(1, 2), (1, 11), (2, 3), (2, 11), (3, 11)}
     assert same_price_pairs(df.limit(0)).count() == 0
     assert price_per_common_unit(df).count() == len(rows)
+    members, links = same_price_classes(df)
+    assert members.count() == 7 and links.count() == 5  # without the records 7 to 10, 12 and the one without id; repeats once
 
 
 def test_same_prices_brute(spark):
