@@ -2,14 +2,14 @@
 
 End marks that end nothing (in numbers, labels, addresses, abbreviations, initials, list signs,
 inside quotes, brackets and titles) are masked by a private-use placeholder of the same length, one
-``regexp_replace`` after another. What is left of the end marks, empty lines, list items and Thai
-spaces then get a separator behind them, the text is split there, and the offsets of the pieces are
-added up. Masking never changes the length, so the offsets are those of the text itself, from
-which the sentences are cut again where they are asked for.
+``regexp_replace`` after another. The space behind what is left of the end marks, around empty lines
+and line breaks before list items, and between Thai letters is then set off by separators, the text
+is split there into sentences and spaces by turns, and their lengths are added up. Masking never
+changes the length, so the offsets are those of the text itself, from which the sentences are cut
+again where they are asked for. Passes whose sign does not occur in a text are left out.
 
-Bounds: ? and ! in an address are seen up to 200 characters behind ``://``, list signs up to 20
-columns of indent, round brackets nested two deep, every other kind of pair one deep. Beyond that
-the marks inside end a sentence.
+Bounds: round brackets are matched nested two deep, every other kind of pair one deep within its
+own kind. Beyond that the marks inside end a sentence.
 
 Everything happens in the row of the text: no shuffle, no Python.
 """
@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 
 from plumbline.session import spread
 
-#: Private-use placeholders: a masked mark, an empty line, a line break before a list item, a sentence end, and a mark that follows another in a run.
-_MASK, _PARA, _ITEM, _SEP, _MORE = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004"
+#: Private-use placeholders: a masked mark, an empty line, a line break before a list item, a separator, a mark that follows another in a run, an end mark of any kind, a ? or ! of an address.
+_MASK, _PARA, _ITEM, _SEP, _MORE, _END, _ASKED = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue005", "\ue006"
 _HSPACE = " \t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WS = f"[{_HSPACE}\n]"
 _HS = f"[{_HSPACE}]"
 #: End marks of all scripts. Fixed values.
-_M = "[.．。｡︒﹒!！﹗?？﹖…।॥؟۔։።‼⁇⁈⁉]"
+_MARKS = ".．。｡︒﹒!！﹗?？﹖…।॥؟۔։።‼⁇⁈⁉"
 #: Scripts that are written without spaces between sentences, and Korean.
 _CJK = "々〆〇ぁ-ゟ゠-ヿ㐀-䶿一-鿿\uf900-\ufaff가-힣"
 #: Pairs of quotes, brackets and title signs, in the order in which they are matched. Fixed values.
@@ -56,7 +56,7 @@ _BEFORE_ORDINAL = "der die das den dem des am im vom zum zur beim ab bis seit je
 _NUMERALS = "一二三四五六七八九十"
 #: A list sign at the start of a line.
 _SIGN = (
-    rf"{_HS}{{0,20}}(?:[（(]\p{{N}}{{1,3}}[）)]|\p{{N}}{{1,3}}[）)、]|\p{{N}}{{1,3}}[.．](?=[{_HSPACE}{_CJK}])|[①-⑳]|[-•·*●○■□◆▪‣]{_HS}"
+    rf"{_HS}*+(?:[（(]\p{{N}}{{1,3}}[）)]|\p{{N}}{{1,3}}[）)、]|\p{{N}}{{1,3}}[.．](?=[{_HSPACE}{_CJK}])|[①-⑳]|[-•·*●○■□◆▪‣]{_HS}"
     rf"|[{_NUMERALS}]{{1,3}}[、.．]|[（(][{_NUMERALS}]{{1,3}}[）)])"
 )
 
@@ -65,17 +65,20 @@ def _any(words: list[str]) -> str:
     return "|".join(words)
 
 
-def _steps() -> list[tuple[str, str]]:
-    """(pattern, replacement) in order, up to the pairs of quotes and brackets; all keep the length."""
+def _paragraphs() -> list[tuple[str, str]]:
+    """Empty lines; (pattern, replacement) in order, as everywhere below, all keeping the length."""
+    return [(rf"\n(?={_HS}*+\n)", _PARA), (rf"({_PARA}{_HS}*+)\n", f"$1{_PARA}")]
+
+
+def _addresses() -> list[tuple[str, str]]:
+    """Question and exclamation marks in addresses, however long: all get a sign of their own, and those that go on are masked."""
+    inside = rf"[^{_HSPACE}\n{_PARA}?!]*+"
+    return [(rf"((?:https?|ftp)://{inside}|(?!^)\G{inside})[?!]", f"$1{_ASKED}"), (rf"{_ASKED}(?=[A-Za-z0-9/&=_%#])", _MASK), (_ASKED, "?")]
+
+
+def _stops() -> list[tuple[str, str]]:
+    """Full stops that end nothing, in one pass: the stop is consumed first and its surroundings are looked at only then."""
     word = r"(?<![\p{L}\p{M}\p{N}])"
-    s: list[tuple[str, str]] = [("[\ue000-\ue0ff]", "\ufffd")]
-    # Empty lines.
-    s += [(rf"\n(?={_HS}*\n)", _PARA), (rf"\n(?<={_PARA}{_HS}{{0,50}}\n)", _PARA)]
-    # Question and exclamation marks in addresses.
-    s += [(rf"[?!](?=[A-Za-z0-9/&=_%#])(?<=(?:https?|ftp)://[^{_HSPACE}\n]{{0,200}}[?!])", _MASK)]
-    # A run of dots is its first one; what follows is looked past from there alone, so long runs cost no more than their length.
-    s += [(r"[.．…](?<=[.．…][.．…])", _MORE)]
-    # Full stops that end nothing, in one pass: the stop is consumed first and its surroundings are looked at only then.
     stop = r"[.．]"
     end_of_clause = rf"(?<=т\.{_WS}?[дпк]\.){_WS}+\p{{Lu}}"
     rules = [
@@ -96,14 +99,36 @@ def _steps() -> list[tuple[str, str]]:
         rf"(?={_WS}*(?:{_any(_MONTHS)})(?!\p{{L}}))(?<=(?<![\p{{N}}.,])\p{{N}}{{1,2}}\.)",
         rf"(?={_WS}+\p{{L}})(?<=\p{{N}}\.)(?<={word}(?i:{_any(_BEFORE_ORDINAL)}){_WS}\p{{N}}{{1,3}}\.)",
     ]
-    s += [(f"{stop}(?!{_MORE})(?:{'|'.join(rules)})", _MASK), (f"[.．…](?={_MORE}*[,;:，；：、])", _MASK)]
-    # List items: a line with a list sign after another such line, or after a line that is complete.
-    s += [(rf"(?<=^|[\n{_PARA}])({_SIGN}[^\n{_PARA}]*)\n(?={_SIGN})", f"$1{_ITEM}")]
-    s += [(rf"\n(?={_SIGN})(?<=[{_CJK}:：;；”’」』）)\]】》〉»\"{_MORE}{_M[1:-1]}]\r?\n)", _ITEM)]
-    s += [(rf"[.．)）](?!\p{{N}})(?<=(?:^|[{_PARA}{_ITEM}]){_HS}{{0,20}}[\p{{N}}{_NUMERALS}]{{1,3}}[.．)）])", _MASK)]
-    # Dots before a small letter.
-    s += [(rf"[.…](?={_MORE}*{_WS}*\p{{Ll}})(?<=…|\.(?={_MORE}|{_WS}))", _MASK)]
-    return s
+    return [(f"[.．…](?:(?={_MORE}*+[,;:，；：、])|(?<!…)(?!{_MORE})(?:{'|'.join(rules)}))", _MASK)]
+
+
+def _items() -> list[tuple[str, str]]:
+    """List items: a line with a list sign after another such line, or after a line that is complete."""
+    return [
+        (rf"(?<=^|[\n{_PARA}])({_SIGN}[^\n{_PARA}]*+)\n(?={_SIGN})", f"$1{_ITEM}"),
+        (rf"\n(?={_SIGN})(?<=[{_CJK}:：;；”’」』）)\]】》〉»\"{_MORE}{_MARKS}]\r?\n)", _ITEM),
+    ]
+
+
+def _ends() -> list[tuple[str, str]]:
+    """List signs, dots before a small letter."""
+    return [
+        (rf"((?:^|[{_PARA}{_ITEM}]){_HS}*+[\p{{N}}{_NUMERALS}]{{1,3}})[.．)）](?!\p{{N}})", f"$1{_MASK}"),
+        (rf"[.…](?={_MORE}*+{_WS}*+\p{{Ll}})(?<=…|\.(?={_MORE}|{_WS}))", _MASK),
+    ]
+
+
+#: An end mark behind another is part of its run.
+_RUN = (rf"{_END}(?<=[{_MORE}{_END}]{_END})", _MORE)
+
+
+#: Private-use characters of the text itself; a dot behind another.
+_PRIVATE, _DOTS = ("[\ue000-\ue0ff]", "\ufffd"), (r"[.．…](?<=[.．…][.．…])", _MORE)
+
+
+def _steps() -> list[tuple[str, str]]:
+    """All steps up to the pairs of quotes and brackets, in order."""
+    return [_PRIVATE, *_paragraphs(), *_addresses(), _DOTS, *_stops(), *_items(), *_ends(), (f"[{_MARKS}]", _END)]
 
 
 def _pair_steps() -> list[tuple[str, str, str]]:
@@ -116,34 +141,31 @@ def _pair_steps() -> list[tuple[str, str, str]]:
     return out
 
 
-#: A mark behind another is part of its run.
-_RUN = (rf"{_M}(?<=[{_MORE}{_M[1:-1]}]{_M})", _MORE)
-
-
 def _inside() -> list[tuple[str, str, str]]:
     """(opening, closing, pattern of the marks between them to mask): all in titles, else all but those at the end."""
     kinds = [*_PAIRS, "()", "()"]
-    return [(o, c, _M if kind in _TITLES else rf"{_M}(?!{_MORE}*{_WS}*[{_CLOSERS}]*$)") for o, c, kind in zip(_OPEN, _CLOSE, kinds)]
-
-
-def _separators() -> list[tuple[str, str]]:
-    """(pattern, replacement) that mask the last marks and set the separators."""
-    s: list[tuple[str, str]] = []
-    # Marks at the end of quotes or brackets after which the surrounding sentence goes on.
-    on = rf"{_WS}{{0,3}}[,，、;；:：—–―-]|{_WS}*\p{{Ll}}|{_M}|[のとではがをにもかやへっ가-힣的地得之等了吗呢吧啊]"
-    s += [(rf"{_M}(?={_MORE}*[{_CLOSERS}]+(?:{on}))", _MASK)]
-    # Separators.
-    s += [(rf"({_M}{_MORE}*[{_CLOSERS}”’」』）)\]】》〉»]*)", f"$1{_SEP}")]
-    s += [(rf"({_WS})(?<=[ก-ฺเ-๎]{_WS})({_WS}*)(?=[ก-ฺเ-๎])", f"$1$2{_SEP}")]
-    s += [(rf"([{_PARA}{_ITEM}])", f"$1{_SEP}")]
-    return s
+    return [(o, c, _END if kind in _TITLES else rf"{_END}(?!{_MORE}*+{_WS}*+[{_CLOSERS}]*+$)") for o, c, kind in zip(_OPEN, _CLOSE, kinds)]
 
 
 #: White space of all kinds, and the signs that stand for line breaks while a text is masked.
 _BLANK = f"[{_HSPACE}\n{_PARA}{_ITEM}]"
 _BLANKS = "".join(c for c in map(chr, range(0xE003)) if re.match(_BLANK, c))
-#: Pieces whose lengths are added up at a time; keeps the sums of long texts from growing with the square.
-_CHUNK = 128
+#: A mark at the end of quotes or brackets after which the surrounding sentence goes on.
+_GOING_ON = (rf"{_END}(?={_MORE}*+[{_CLOSERS}]++(?:{_WS}*+[,，、;；:：—–―-]|{_WS}*+\p{{Ll}}|{_END}|[のとではがをにもかやへっ가-힣的地得之等了吗呢吧啊]))", _MASK)
+#: An empty line or a line break before an item with the space around it, between separators.
+_BREAK = (rf"(?<!{_WS})({_WS}*+[{_PARA}{_ITEM}]{_BLANK}*+)", f"{_SEP}$1{_SEP}")
+_THAI = "[ก-ฺเ-๎]"
+#: The space behind an end mark and what closes there, and the space between Thai letters, between separators.
+_SPACE = (rf"({_END}{_MORE}*+[{_CLOSERS}”’」』）)\]】》〉»]*+)({_BLANK}*+)|({_THAI})({_WS}++)(?={_THAI})", f"$1$3{_SEP}$2$4{_SEP}")
+
+
+def _separators() -> list[tuple[str, str]]:
+    """The steps behind the pairs, in order; they mask the last marks and set the separators."""
+    return [_GOING_ON, _BREAK, _SPACE]
+
+
+#: Pieces that are cut off at a time, from large to small and even, so that adding up what lies before a piece never takes long, however many there are.
+_SLICES = (32_768, 1024, 32)
 
 
 def _replaced(text: Column, steps: list[tuple[str, str]]) -> Column:
@@ -161,6 +183,48 @@ def _mask_inside(text: Column, opening: str, closing: str, marks: str) -> Column
     return F.when(F.contains(text, F.lit(closing)), F.array_join(masked, "")).otherwise(text)
 
 
+def _barrier(rows: DataFrame, doc_id: str, t: Column, *more: str | Column) -> DataFrame:
+    """(doc_id, t, ...); the explode of a one-element array keeps t from being written out once per use, so it is computed once per text."""
+    return rows.select(F.col(doc_id), F.explode(F.array(t)).alias("t"), *more)
+
+
+def _where(*signs: str) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains("t", F.lit(o)) for o in signs])
+
+
+def _total(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0), lambda acc, n: acc + n)
+
+
+def _sliced(rows: DataFrame, doc_id: str, size: int) -> DataFrame:
+    """(doc_id, p, at): the lengths p, which begin at ``at``, in slices of ``size``, each with its own begin."""
+    many = F.size("p") > size
+    sums = F.when(many, F.transform(F.sequence(F.lit(0), ((F.size("p") - 1) / size).cast("int")), lambda i: _total(F.slice("p", i * size + 1, size)))).otherwise(F.array(F.lit(0)))
+    rows = rows.select(F.col(doc_id), "p", "at", F.explode(F.array(sums)).alias("sums"))
+    whole = F.array(F.struct("p", "at"))
+    parts = F.transform("sums", lambda _, i: F.struct(F.slice("p", i * size + 1, size).alias("p"), (F.col("at") + _total(F.slice("sums", 1, i))).alias("at")))
+    return rows.select(F.col(doc_id), F.explode(F.when(F.size("sums") > 1, parts).otherwise(whole)).alias("c")).select(F.col(doc_id), "c.p", "c.at")
+
+
+def masked(texts: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, t): the texts, none null, with every end mark that ends nothing masked."""
+    t = F.col("t")
+    # Private-use characters start with the byte EE, as no others do.
+    private = F.contains(F.col(text).cast("binary"), F.lit(b"\xee"))
+    rows = _barrier(texts, doc_id, F.when(private, F.regexp_replace(text, *_PRIVATE)).otherwise(F.col(text)))
+    for signs, steps in ((("\n",), _paragraphs()), (("://",), _addresses()), (("..", "…", "．"), [_DOTS])):
+        rows = _barrier(rows, doc_id, F.when(_where(*signs), _replaced(t, steps)).otherwise(t))
+    rows = _barrier(rows, doc_id, _replaced(t, _stops()))
+    rows = _barrier(rows, doc_id, F.when(_where("\n"), _replaced(t, _items())).otherwise(t))
+    # All other marks become one sign.
+    rows = _barrier(rows, doc_id, F.regexp_replace(F.translate(_replaced(t, _ends()), _MARKS, _END * len(_MARKS)), *_RUN))
+    for signs, pattern, replacement in _pair_steps():
+        rows = _barrier(rows, doc_id, F.when(_where(*signs), F.regexp_replace("t", pattern, replacement)).otherwise(t))
+    for opening, closing, marks in _inside():
+        rows = _barrier(rows, doc_id, _mask_inside(t, opening, closing, marks))
+    return _barrier(rows, doc_id, F.when(_where(*_CLOSE), F.regexp_replace("t", *_GOING_ON)).otherwise(t))
+
+
 def sentence_spans(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sentence: str | None = None) -> DataFrame:
     """(doc_id, sent_start, sent_end): 0-based code-point offsets of the first character and behind the last.
 
@@ -174,29 +238,16 @@ def sentence_spans(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         cut = F.substring(F.col("d")[text], F.col("sent_start") + 1, F.col("sent_end") - F.col("sent_start"))
         return found.select(F.col("d")[doc_id].alias(doc_id), "sent_start", "sent_end", cut.alias(sentence))
     blanks = F.lit(_BLANKS)
-    texts = spread(documents.where(F.col(text).isNotNull()).select(F.col(doc_id), F.col(text)))
-    rows = texts.select(F.col(doc_id), F.explode(F.array(_replaced(F.col(text), _steps()))).alias("t"))
-    # Each explode of a one-element array is a barrier: what it holds is computed once per text.
-    for signs, pattern, replacement in _pair_steps():
-        paired = F.when(reduce(lambda a, b: a | b, [F.contains("t", F.lit(o)) for o in signs]), F.regexp_replace("t", pattern, replacement)).otherwise(F.col("t"))
-        rows = rows.select(F.col(doc_id), F.explode(F.array(paired)).alias("t"))
-    rows = rows.select(F.col(doc_id), F.regexp_replace("t", *_RUN).alias("t"))
-    for opening, closing, marks in _inside():
-        rows = rows.select(F.col(doc_id), F.explode(F.array(_mask_inside(F.col("t"), opening, closing, marks))).alias("t"))
-    pieces = F.transform(
-        F.split(_replaced(F.col("t"), _separators()), _SEP),
-        lambda x: F.struct(F.length(x).alias("n"), (F.length(x) - F.length(F.ltrim(x, blanks))).alias("lead"), (F.length(x) - F.length(F.rtrim(x, blanks))).alias("trail")),
-    )
-    once = rows.select(F.col(doc_id), F.explode(F.array(pieces)).alias("p"))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + x["n"])
-    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size("p") / _CHUNK)), lambda i: total(F.slice("p", i.cast("int") * _CHUNK + 1, _CHUNK)))
-    summed = once.select(F.col(doc_id), "p", F.explode(F.array(chunks)).alias("sums"))
-
-    def placed(x: Column, i: Column) -> Column:
-        chunk = F.floor(i / _CHUNK).cast("int")
-        whole = F.aggregate(F.slice("sums", 1, chunk), F.lit(0), lambda acc, y: acc + y)
-        start = whole + total(F.slice("p", chunk * _CHUNK + 1, i % _CHUNK))
-        return F.struct((start + x["lead"]).alias("sent_start"), (start + x["n"] - x["trail"]).alias("sent_end"), (x["n"] > x["lead"]).alias("filled"))
-
-    spans = summed.select(F.col(doc_id), F.explode(F.transform("p", placed)).alias("s")).where("s.filled")
-    return spans.select(F.col(doc_id), F.col("s.sent_start").cast("int").alias("sent_start"), F.col("s.sent_end").cast("int").alias("sent_end"))
+    rows = masked(spread(documents.where(F.col(text).isNotNull()).select(F.col(doc_id), F.col(text))), doc_id, text)
+    # Sentences and the spaces between them by turns; what surrounds the whole text is left out first.
+    rows = rows.select(F.col(doc_id), "t", F.ltrim("t", blanks).alias("right")).where("right <> ''")
+    rows = _barrier(rows, doc_id, F.rtrim("right", blanks), (F.length("t") - F.length("right")).alias("lead"))
+    broken = F.when(_where(_PARA, _ITEM), F.regexp_replace("t", *_BREAK)).otherwise(F.col("t"))
+    pieces = F.split(F.regexp_replace(broken, *_SPACE), _SEP)
+    rows = rows.select(F.col(doc_id), F.explode(F.array(F.transform(pieces, F.length))).alias("p"), F.col("lead").alias("at"))
+    for size in _SLICES:
+        rows = _sliced(rows, doc_id, size)
+    # The even ones are sentences.
+    each = F.transform(F.sequence(F.lit(0), F.size("p") - 1, F.lit(2)), lambda i: F.struct((F.col("at") + _total(F.slice("p", 1, i))).alias("at"), F.element_at("p", i + 1).alias("n")))
+    spans = rows.select(F.col(doc_id), F.explode(each).alias("s")).where("s.n > 0")
+    return spans.select(F.col(doc_id), F.col("s.at").alias("sent_start"), (F.col("s.at") + F.col("s.n")).alias("sent_end"))

@@ -188,3 +188,32 @@ def test_sentences_cover_the_text(spark):
     text = "".join("".join(p) for p in SENTENCES)
     covered = {i for a, b in split(text) for i in range(a, b)}
     assert all(text[i].isspace() for i in range(len(text)) if i not in covered)
+
+
+def test_sentences_beyond_any_window(spark):
+    address = "See https://a.example/" + "x" * 3000 + "?c=1&d=2!e now. Next."
+    wide = "Parts:" + "\n" + " " * 300 + "1. One." + "\n" + " " * 300 + "2. Two."
+    gap = "One" + "\n" + " " * 500 + "\n\n" + "\t" * 500 + "\nTwo"
+    dash = "He said “Stop!”" + " " * 50 + "- and went. Then."
+    texts = [address, wide, gap, dash]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in sentences.sentence_spans(df, sentence="s").orderBy("doc_id", "sent_start").collect():
+        assert texts[r.doc_id][r.sent_start : r.sent_end] == r.s
+        got.setdefault(r.doc_id, []).append(r.s)
+    assert got[0] == [address[: address.index(" Next")], "Next."]
+    assert got[1] == ["Parts:", "1. One.", "2. Two."]
+    assert got[2] == ["One", "Two"]
+    assert got[3] == [dash[: dash.index(" Then")], "Then."]
+
+
+def test_places_in_long_texts(spark):
+    """Texts of many times the slices in which lengths are added up; every place is where plain addition puts it."""
+    lengths = [1, 31, 32, 33, 1025, 40_000]
+    texts = ["  " + " ".join(f"Word{i % 7} ends." for i in range(n)) + "\n" for n in lengths]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in sentences.sentence_spans(df).orderBy("doc_id", "sent_start").collect():
+        got.setdefault(r.doc_id, []).append((r.sent_start, r.sent_end))
+    for i, n in enumerate(lengths):
+        assert got[i] == [(2 + 12 * k, 13 + 12 * k) for k in range(n)]
