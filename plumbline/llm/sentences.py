@@ -16,7 +16,7 @@ Everything happens in the row of the text: no shuffle, no Python.
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,7 +26,8 @@ from plumbline.session import spread
 
 #: Private-use placeholders: a masked mark, an empty line, a line break before a list item, a separator, a mark that follows another in a run, an end mark of any kind, a ? or ! of an address.
 _MASK, _PARA, _ITEM, _SEP, _MORE, _END, _ASKED = "\ue000", "\ue001", "\ue002", "\ue003", "\ue004", "\ue005", "\ue006"
-_HSPACE = " \t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space but the line break: controls and all separators of Unicode.
+_HSPACE = r"\t\x0b\x0c\r\x1c-\x1f\x85\p{Z}"
 _WS = f"[{_HSPACE}\n]"
 _HS = f"[{_HSPACE}]"
 #: End marks of all scripts. Fixed values.
@@ -35,8 +36,11 @@ _MARKS = ".．。｡︒﹒!！﹗?？﹖…।॥؟۔։።‼⁇⁈⁉"
 _CJK = "々〆〇ぁ-ゟ゠-ヿ㐀-䶿一-鿿\uf900-\ufaff가-힣"
 #: Pairs of quotes, brackets and title signs, in the order in which they are matched. Fixed values.
 _PAIRS = ["„“”", "“”", "‘’", '""', "「」", "『』", "《》", "〈〉", "【】", "〔〕", "[]", "{}", "«»", "‹›", "〝〞〟"]
-_OPEN = [chr(0xE010 + 2 * i) for i in range(len(_PAIRS) + 2)]
-_CLOSE = [chr(0xE011 + 2 * i) for i in range(len(_PAIRS) + 2)]
+#: Their private signs, all of which begin with the bytes EE 81 as no other private sign does.
+_OPEN = [chr(0xE040 + 2 * i) for i in range(len(_PAIRS) + 2)]
+_CLOSE = [chr(0xE041 + 2 * i) for i in range(len(_PAIRS) + 2)]
+#: Kinds of pairs, by number, that are looked for together, and the first bytes that all their signs share, if any.
+_TOGETHER = [((0, 1), b"\xe2\x80"), ((2,), b"\xe2\x80"), ((3,), b""), ((4, 5), b"\xe3\x80"), ((6, 7), b"\xe3\x80"), ((8, 9), b"\xe3\x80"), ((14,), b"\xe3\x80"), ((10, 11), b""), ((12, 13), b""), ((15, 16), b"")]
 _CLOSERS = "".join(_CLOSE)
 _TITLES = ("《》", "〈〉")
 #: Abbreviations after which the sentence goes on whatever follows. Fixed values.
@@ -54,6 +58,7 @@ _MONTHS = "Januar Jänner Februar März April Mai Juni Juli August September Okt
 #: German words after which a number with a full stop is an ordinal. Fixed values.
 _BEFORE_ORDINAL = "der die das den dem des am im vom zum zur beim ab bis seit jeder jede jedes jedem jeden ein eine einer einen einem eines".split()
 _NUMERALS = "一二三四五六七八九十"
+_NUMBERED = rf"{_HS}*+[\p{{N}}{_NUMERALS}]{{1,3}}"
 #: A list sign at the start of a line.
 _SIGN = (
     rf"{_HS}*+(?:[（(]\p{{N}}{{1,3}}[）)]|\p{{N}}{{1,3}}[）)、]|\p{{N}}{{1,3}}[.．](?=[{_HSPACE}{_CJK}])|[①-⑳]|[-•·*●○■□◆▪‣]{_HS}"
@@ -103,17 +108,18 @@ def _stops() -> list[tuple[str, str]]:
 
 
 def _items() -> list[tuple[str, str]]:
-    """List items: a line with a list sign after another such line, or after a line that is complete."""
+    """List items: a line with a list sign after another such line, or after a line that is complete; their numbers."""
     return [
-        (rf"(?<=^|[\n{_PARA}])({_SIGN}[^\n{_PARA}]*+)\n(?={_SIGN})", f"$1{_ITEM}"),
+        (rf"((?:\G|[\n{_PARA}]){_SIGN}[^\n{_PARA}]*+)\n(?={_SIGN})", f"$1{_ITEM}"),
         (rf"\n(?={_SIGN})(?<=[{_CJK}:：;；”’」』）)\]】》〉»\"{_MORE}{_MARKS}]\r?\n)", _ITEM),
+        (rf"([{_PARA}{_ITEM}]{_NUMBERED})[.．)）](?!\p{{N}})", f"$1{_MASK}"),
     ]
 
 
 def _ends() -> list[tuple[str, str]]:
-    """List signs, dots before a small letter."""
+    """The number of a list sign at the start of the text, dots before a small letter."""
     return [
-        (rf"((?:^|[{_PARA}{_ITEM}]){_HS}*+[\p{{N}}{_NUMERALS}]{{1,3}})[.．)）](?!\p{{N}})", f"$1{_MASK}"),
+        (rf"(^{_NUMBERED})[.．)）](?!\p{{N}})", f"$1{_MASK}"),
         (rf"[.…](?={_MORE}*+{_WS}*+\p{{Ll}})(?<=…|\.(?={_MORE}|{_WS}))", _MASK),
     ]
 
@@ -149,11 +155,11 @@ def _inside() -> list[tuple[str, str, str]]:
 
 #: White space of all kinds, and the signs that stand for line breaks while a text is masked.
 _BLANK = f"[{_HSPACE}\n{_PARA}{_ITEM}]"
-_BLANKS = "".join(c for c in map(chr, range(0xE003)) if re.match(_BLANK, c))
+_BLANKS = "".join(c for c in map(chr, range(0xE003)) if c in f"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85{_PARA}{_ITEM}" or unicodedata.category(c) in ("Zs", "Zl", "Zp"))
 #: A mark at the end of quotes or brackets after which the surrounding sentence goes on.
 _GOING_ON = (rf"{_END}(?={_MORE}*+[{_CLOSERS}]++(?:{_WS}*+[,，、;；:：—–―-]|{_WS}*+\p{{Ll}}|{_END}|[のとではがをにもかやへっ가-힣的地得之等了吗呢吧啊]))", _MASK)
 #: An empty line or a line break before an item with the space around it, between separators.
-_BREAK = (rf"(?<!{_WS})({_WS}*+[{_PARA}{_ITEM}]{_BLANK}*+)", f"{_SEP}$1{_SEP}")
+_BREAK = (rf"(?={_BLANK})(?<!{_WS})({_WS}*+[{_PARA}{_ITEM}]{_BLANK}*+)", f"{_SEP}$1{_SEP}")
 _THAI = "[ก-ฺเ-๎]"
 #: The space behind an end mark and what closes there, and the space between Thai letters, between separators.
 _SPACE = (rf"({_END}{_MORE}*+[{_CLOSERS}”’」』）)\]】》〉»]*+)({_BLANK}*+)|({_THAI})({_WS}++)(?={_THAI})", f"$1$3{_SEP}$2$4{_SEP}")
@@ -165,22 +171,18 @@ def _separators() -> list[tuple[str, str]]:
 
 
 #: Pieces that are cut off at a time, from large to small and even, so that adding up what lies before a piece never takes long, however many there are.
-_SLICES = (32_768, 1024, 32)
+_SLICES = (2048, 32)
 
 
 def _replaced(text: Column, steps: list[tuple[str, str]]) -> Column:
     return reduce(lambda c, step: F.regexp_replace(c, *step), steps, text)
 
 
-def _mask_inside(text: Column, opening: str, closing: str, marks: str) -> Column:
-    """The text with the marks inside one kind of pairs masked; pairs of one kind never nest, so this is linear.
-
-    The text is cut before every opening and closing sign; a piece that begins with an opening one
-    is what lies inside.
-    """
-    pieces = F.split(text, f"(?=[{opening}{closing}])")
-    masked = F.transform(pieces, lambda x: F.when(x.startswith(opening), F.regexp_replace(x, marks, _MASK)).otherwise(x))
-    return F.when(F.contains(text, F.lit(closing)), F.array_join(masked, "")).otherwise(text)
+def _mask_inside(opening: str, closing: str, all_marks: bool) -> tuple[str, str]:
+    """The step that masks the marks inside one kind of pairs, from each to the next; pairs of one kind never nest, so this is linear."""
+    before = f"[^{closing}{_END}]*+"
+    last = "" if all_marks else rf"(?!{_MORE}*+{_WS}*+[{_CLOSERS.replace(closing, '')}]*+\n?{closing})"
+    return rf"({opening}{before}|(?!^)\G{before}){_END}{last}", f"$1{_MASK}"
 
 
 def _barrier(rows: DataFrame, doc_id: str, t: Column, *more: str | Column) -> DataFrame:
@@ -215,14 +217,23 @@ def masked(texts: DataFrame, doc_id: str, text: str) -> DataFrame:
     for signs, steps in ((("\n",), _paragraphs()), (("://",), _addresses()), (("..", "…", "．"), [_DOTS])):
         rows = _barrier(rows, doc_id, F.when(_where(*signs), _replaced(t, steps)).otherwise(t))
     rows = _barrier(rows, doc_id, _replaced(t, _stops()))
-    rows = _barrier(rows, doc_id, F.when(_where("\n"), _replaced(t, _items())).otherwise(t))
+    rows = _barrier(rows, doc_id, F.when(_where("\n", _PARA), _replaced(t, _items())).otherwise(t))
     # All other marks become one sign.
     rows = _barrier(rows, doc_id, F.regexp_replace(F.translate(_replaced(t, _ends()), _MARKS, _END * len(_MARKS)), *_RUN))
-    for signs, pattern, replacement in _pair_steps():
-        rows = _barrier(rows, doc_id, F.when(_where(*signs), F.regexp_replace("t", pattern, replacement)).otherwise(t))
-    for opening, closing, marks in _inside():
-        rows = _barrier(rows, doc_id, _mask_inside(t, opening, closing, marks))
-    return _barrier(rows, doc_id, F.when(_where(*_CLOSE), F.regexp_replace("t", *_GOING_ON)).otherwise(t))
+    pairs, inside = _pair_steps(), [_mask_inside(o, c, m == _END) for o, c, m in _inside()]
+    # Whether a text holds the first bytes of any sign of some kinds, so that most kinds need not be searched for one by one.
+    starts = sorted({start for _, start in _TOGETHER} - {b""})
+    flags = [f"has_{start.hex()}" for start in starts]
+    has = lambda start: F.contains(F.col("t").cast("binary"), F.lit(start))
+    rows = rows.select(F.col(doc_id), "t", *[has(start).alias(f) for start, f in zip(starts, flags)])
+    for kinds, start in _TOGETHER:
+        signs = _where(*dict.fromkeys("".join(pairs[k][0] for k in kinds)))
+        rows = _barrier(rows, doc_id, F.when(F.col(f"has_{start.hex()}") & signs if start else signs, _replaced(t, [pairs[k][1:] for k in kinds])).otherwise(t), *flags)
+    rows = rows.select(F.col(doc_id), "t", *flags, has(b"\xee\x81").alias("paired"))
+    for kinds, start in _TOGETHER:
+        signs = F.col("paired") & _where(*[_CLOSE[k] for k in kinds])
+        rows = _barrier(rows, doc_id, F.when(F.col(f"has_{start.hex()}") & signs if start else signs, _replaced(t, [inside[k] for k in kinds])).otherwise(t), *flags, "paired")
+    return _barrier(rows, doc_id, F.when(F.col("paired"), F.regexp_replace("t", *_GOING_ON)).otherwise(t))
 
 
 def sentence_spans(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sentence: str | None = None) -> DataFrame:
