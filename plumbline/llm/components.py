@@ -9,9 +9,12 @@ the end. A level leaves about a quarter of the edges even of a single long chain
 with the logarithm of their number and all levels together cost little more than the first.
 
 Vertices are dense integers, and what a vertex knows is one integer, head start above, centre
-below, so every round is one join and one hash aggregation of integers with map-side combining.
-Nothing is gathered on the driver but row counts and the few vertices whose degree exceeds their
-share (at most 8 x partitions by construction), whose edges are salted over sub-keys.
+below, so every round is one join and one hash aggregation of integers with map-side combining. The
+first round needs no join, since a head start follows from the vertex's number; in the others an arc
+hands on what its source knows to its target and to the source itself, so that a round refers to the
+state before it once. Nothing is gathered on the driver but row counts. The edges of a vertex whose
+degree exceeds its share are salted, over the more sub-keys the higher the degree; the table of
+these vertices has at most 16 x partitions rows by construction and is broadcast.
 """
 
 from __future__ import annotations
@@ -23,12 +26,12 @@ from plumbline.functions.text import is_blank, strip
 from plumbline.session import cut_lineage, shuffle_partitions
 
 #: Rounds that clusters grow, and the rate of the head starts' distribution.
-ROUNDS, RATE = 3, 0.15
+ROUNDS, RATE = 3, 0.05
 #: Bits of a vertex number, and of a head start's fraction of a round.
 _ID_BITS, _FRACTION_BITS = 42, 12
 _ROUND = 1 << (_ID_BITS + _FRACTION_BITS)
-#: Sub-keys of a vertex of very high degree, and the degree below which none is salted.
-SALTS, LEAST_HOT = 64, 20_000
+#: Rows of one key below which none is salted.
+LEAST_HOT = 20_000
 
 
 def _start(v: Column, level: int) -> Column:
@@ -39,39 +42,50 @@ def _start(v: Column, level: int) -> Column:
     return F.shiftleft(lead, _ID_BITS).bitwiseOR(v)
 
 
-def _decompose(edges: DataFrame, n_edges: int, level: int) -> DataFrame:
+def _hot(counts: DataFrame, key: str, rows: int) -> DataFrame | None:
+    """(key, salts) of the keys of (key, count) that carry more than their share of ``rows``: as many salts as shares; None where no key can."""
+    if rows <= LEAST_HOT:
+        return None
+    share = max(LEAST_HOT, rows // (8 * shuffle_partitions(counts.sparkSession)))
+    return F.broadcast(counts.where(F.col("count") > share).select(F.col(key).alias("key"), F.ceil(F.col("count") / share).cast("int").alias("salts")))
+
+
+def _looked_up(rows: DataFrame, key: str, table: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """The inner join of ``rows`` with ``table``, whose first column is unique, on ``key``; rows of a hot key are spread over its salts, to each of which its table row is copied."""
+    t = table.withColumnRenamed(table.columns[0], key)
+    if hot is None:
+        return rows.join(t, key)
+    salts = hot.withColumnRenamed("key", key)
+    others = [c for c in rows.columns if c != key]
+    salted = rows.join(salts, key, "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*others), F.col("salts")).cast("int"))).drop("salts")
+    copied = t.join(salts, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))).drop("salts")
+    return salted.join(copied, [key, "salt"]).drop("salt")
+
+
+def _decompose(edges: DataFrame, level: int, hot: DataFrame | None) -> DataFrame:
     """(v, center) for every vertex of the undirected edges (a < b)."""
-    spark = edges.sparkSession
     arcs = edges.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*")
-    hot: list[int] = []
-    if n_edges > LEAST_HOT:
-        share = max(LEAST_HOT, n_edges // (4 * shuffle_partitions(spark)))
-        hot = [r["src"] for r in arcs.groupBy("src").count().where(F.col("count") > share).select("src").collect()]
-    is_hot = lambda c: F.col(c).isin(hot) if hot else F.lit(False)
-    state = arcs.select(F.col("src").alias("v")).distinct().select("v", _start(F.col("v"), level).alias("best"))
-    if hot:
-        arcs = arcs.withColumn("salt", F.when(is_hot("src"), F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")).otherwise(0))
-    for _ in range(ROUNDS):
-        if hot:
-            spread = state.withColumn("salt", F.explode(F.when(is_hot("v"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-            met = arcs.join(spread, (arcs["src"] == spread["v"]) & (arcs["salt"] == spread["salt"]))
-        else:
-            met = arcs.join(state, arcs["src"] == state["v"])
-        # A head start that is used up reaches nobody further.
-        sent = met.where(F.col("best") >= _ROUND).select(F.col("dst").alias("v"), (F.col("best") - _ROUND).alias("best"))
-        state = state.unionByName(sent).groupBy("v").agg(F.max("best").alias("best"))
+    # A head start that is used up reaches nobody further.
+    reached = F.when(_start(F.col("src"), level) >= _ROUND, _start(F.col("src"), level) - _ROUND)
+    state = arcs.select(F.col("dst").alias("v"), reached.alias("best")).groupBy("v").agg(F.max("best").alias("best")).select("v", F.greatest(_start(F.col("v"), level), "best").alias("best"))
+    for _ in range(ROUNDS - 1):
+        met = _looked_up(arcs, "src", state, hot)
+        known = F.array(F.struct(F.col("src").alias("v"), F.col("best")), F.struct(F.col("dst").alias("v"), (F.col("best") - _ROUND).alias("best")))
+        state = met.select(F.explode(known).alias("k")).select("k.*").where("best >= 0").groupBy("v").agg(F.max("best").alias("best"))
     return state.select("v", F.col("best").bitwiseAND(F.lit((1 << _ID_BITS) - 1)).alias("center"))
 
 
-def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _numbered(edges: DataFrame, n_edges: int) -> tuple[DataFrame, DataFrame]:
     """(name, v) with dense numbers v, and the edges in these numbers."""
-    names = edges.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    names = cut_lineage(names.select("name", F.monotonically_increasing_id().alias("raw")))
+    names = edges.select(F.explode(F.array("a", "b")).alias("name")).groupBy("name").count()
+    names = cut_lineage(names.select("name", "count", F.monotonically_increasing_id().alias("raw")))
     part = F.shiftright("raw", 33)
     parts = (names.agg(F.max(part)).head()[0] or 0) + 1
+    hot = _hot(names, "name", 2 * n_edges)
     names = names.select("name", (F.col("raw").bitwiseAND(F.lit((1 << 33) - 1)) * parts + part).alias("v"))
-    a, b = (names.select(F.col("name").alias(c), F.col("v").alias(f"v{c}")) for c in "ab")
-    return names, edges.join(a, "a").join(b, "b").select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b"))
+    for end in ("a", "b"):
+        edges = _looked_up(edges, end, names, hot).drop(end).withColumnRenamed("v", f"v{end}")
+    return names, edges.select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b"))
 
 
 def connected_groups(links: DataFrame) -> DataFrame:
@@ -81,16 +95,18 @@ def connected_groups(links: DataFrame) -> DataFrame:
     count once; an empty table gives no rows. Strings are compared by code point.
     """
     edges = links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    names, edges = _numbered(cut_lineage(edges))
+    edges = cut_lineage(edges)
+    names, edges = _numbered(edges, edges.count())
     edges = cut_lineage(edges)
     levels: list[DataFrame] = []
     while n := edges.count():
-        clusters = cut_lineage(_decompose(edges, n, len(levels)))
+        degrees = edges.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").count()
+        hot = _hot(degrees, "v", 2 * n)
+        clusters = cut_lineage(_decompose(edges, len(levels), hot))
         levels.append(clusters)
-        left = clusters.select(F.col("v").alias("a"), F.col("center").alias("ca"))
-        right = clusters.select(F.col("v").alias("b"), F.col("center").alias("cb"))
-        between = edges.join(left, "a").join(right, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"))
-        edges = cut_lineage(between.distinct())
+        for end in ("a", "b"):
+            edges = _looked_up(edges, end, clusters, hot).drop(end).withColumnRenamed("center", f"c{end}")
+        edges = cut_lineage(edges.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
     if not levels:
         return names.select(F.col("name").alias("v"), F.col("name").alias("group"))
     labels = levels[-1]
@@ -98,21 +114,24 @@ def connected_groups(links: DataFrame) -> DataFrame:
         up = labels.select(F.col("v").alias("center"), F.col("center").alias("top"))
         labels = clusters.join(up, "center", "left").select("v", F.coalesce("top", "center").alias("center"))
     named = cut_lineage(names.join(labels, "v").select("name", "center"))
-    smallest = named.groupBy("center").agg(F.min("name").alias("group"))
-    return named.join(smallest, "center").select(F.col("name").alias("v"), "group")
+    smallest = named.groupBy("center").agg(F.min("name").alias("group"), F.count("*").alias("count"))
+    hot = _hot(smallest, "center", named.count())
+    return _looked_up(named, "center", smallest.select("center", "group"), hot).select(F.col("name").alias("v"), "group")
 
 
 def pair_links(dup_pair: DataFrame) -> DataFrame:
-    """(a, b) of every pair_no whose two sides have a code and differ.
+    """(a, b): links that connect what the pairs connect, those of every pair_no whose two sides have a code and differ.
 
     A side without code (null or blank) or a pair without both sides links nothing. The sides are
-    told apart by the first letter of mark. A pair_no delivered several times links all codes it
-    was ever given on side A with all on side B.
+    told apart by the first letter of mark. A pair_no delivered several times connects all codes it
+    was ever given on side A with all on side B: each code is linked with the smallest of the other
+    side, so a pair_no of many codes gives as many links, not their product.
     """
-    rows = dup_pair.where(~is_blank(F.col("code")) & F.col("pair_no").isNotNull()).select("pair_no", F.upper(F.substring(strip(F.col("mark")), 1, 1)).alias("side"), F.col("code"))
-    a = rows.where("side = 'A'").select("pair_no", F.col("code").alias("a")).distinct()
-    b = rows.where("side = 'B'").select("pair_no", F.col("code").alias("b")).distinct()
-    return a.join(b, "pair_no").where("a <> b").select("a", "b")
+    rows = dup_pair.where(~is_blank(F.col("code")) & F.col("pair_no").isNotNull()).select("pair_no", F.upper(F.substring(strip(F.col("mark")), 1, 1)).alias("side"), "code")
+    rows = rows.where("side in ('A', 'B')").distinct()
+    least = rows.groupBy("pair_no").agg(*[F.min(F.when(F.col("side") == s, F.col("code"))).alias(f"least_{s}") for s in "AB"])
+    other = F.when(F.col("side") == "A", F.col("least_B")).otherwise(F.col("least_A"))
+    return rows.join(least, "pair_no").select(F.col("code").alias("a"), other.alias("b")).where("a <> b")
 
 
 def duplicate_groups(dup_pair: DataFrame) -> DataFrame:
