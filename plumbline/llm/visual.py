@@ -3,9 +3,9 @@
 Distinct texts are exploded to positioned code points; a broadcast join takes every code point to
 what it looks like (its decomposition, its Latin twin, a plain space or hyphen, or nothing);
 combining marks are ordered by class behind their base; base and marks are composed again; and the
-strings are rebuilt. The two tables that are broadcast hold Unicode's own mappings, at most some
-14,000 rows whatever the data. Texts of printable ASCII and of common Chinese characters alone are
-already in that form and are never exploded.
+strings are rebuilt. The two tables that are broadcast hold Unicode's own mappings, fewer than
+20,000 rows whatever the data. Texts of printable ASCII and of common Chinese characters alone are
+already in that form and are never exploded; in other texts a run of such characters stays one piece.
 
 The tables are derived from Python's ``unicodedata`` on the driver; only the twins of Latin letters
 and a few radicals, which it does not hold, are listed here.
@@ -29,12 +29,17 @@ TWINS = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "ο": "o", "ν": "v", "ρ": "p", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J", "ι": "i", "κ": "k",
     # Cyrillic
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ү": "Y", "Ԁ": "D", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "Ӏ": "I",
+    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ү": "Y", "Ԁ": "D", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "Ӏ": "I", "Ԍ": "G", "ԍ": "ɢ",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l", "к": "k",
     # Armenian
     "Օ": "O", "Ս": "U", "Տ": "S", "Լ": "L", "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q",
     # Cherokee
     "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "Ꭱ": "R", "Ꮢ": "R", "Ꮤ": "W", "Ꮍ": "Y", "Ꭵ": "i",
+    # Lisu
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
+    # Coptic
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲉ": "E", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c", "ⲭ": "x", "ⲓ": "i", "ⲕ": "k",
     # Latin letters of their own code point
     "ɡ": "g", "ᴏ": "o", "ᴄ": "c", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s",
 }
@@ -118,8 +123,12 @@ def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return F.broadcast(spark.createDataFrame(_mapping())), F.broadcast(spark.createDataFrame(_compositions()))
 
 
-#: Anything beyond printable ASCII and common Chinese characters; only such texts are exploded.
-_TO_EXPLODE = r"[^\x20-\x7E一-鿿]"
+#: Printable ASCII and common Chinese characters look like themselves and compose with nothing before them.
+_PLAIN = r"\x20-\x7E一-鿿"
+#: Only texts with anything else are exploded.
+_TO_EXPLODE = f"[^{_PLAIN}]"
+#: The pieces a text is exploded to: a run of plain characters up to the last one before another character, which may carry a mark, and every other code point by itself.
+_PIECES = rf"[{_PLAIN}]+(?=[{_PLAIN}]|\z)|[\s\S]"
 _JAMO_TAIL = r"^[ᅡ-ᅵᆨ-ᇂ]$"
 
 
@@ -135,7 +144,7 @@ def visual_forms(texts: DataFrame, text: str = "text") -> DataFrame:
     # 16 bytes stand for a text in the shuffles; the text itself is joined back once.
     key = F.unhex(F.md5("text"))
     special = distinct.where(F.col("text").rlike(_TO_EXPLODE))
-    points = special.select(key.alias("id"), F.posexplode(F.split("text", "")).alias("pos", "ch")).where("ch <> ''")
+    points = special.select(key.alias("id"), F.posexplode(F.regexp_extract_all("text", F.lit(_PIECES), F.lit(0))).alias("pos", "ch"))
     mapped = points.join(mapping, "ch", "left").select(
         "id", "pos", F.posexplode(F.coalesce("to", F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("ccc"))))).alias("sub", "m")
     )
@@ -145,14 +154,15 @@ def visual_forms(texts: DataFrame, text: str = "text") -> DataFrame:
     bases = mapped.select("id", "pos", "sub", "m", F.sum(F.when(follows, 0).otherwise(1)).over(in_text).alias("base"))
     # Marks in the order of their class, those of one class as written; the base is of class 0.
     ordered = bases.groupBy("id", "base").agg(F.array_sort(F.collect_list(F.struct("m.ccc", "pos", "sub", "m.c"))).alias("marks"))
-    # A Korean syllable is composed by itself, whatever marks follow it; any other base with its marks.
+    # A Korean syllable is composed by itself, whatever marks follow it; any other base with its marks. A base alone composes with nothing.
     head = F.filter("marks", lambda m: m["ccc"] == 0)
-    whole = ordered.select("id", "base", "marks", (F.size(head) > 1).alias("korean"), F.array_join(F.when(F.size(head) > 1, head).otherwise(F.col("marks"))["c"], "").alias("apart"))
-    whole = whole.join(composed, "apart", "left")
+    several = F.when(F.size("marks") > 1, F.array_join(F.when(F.size(head) > 1, head).otherwise(F.col("marks"))["c"], ""))
+    whole = ordered.select("id", "base", "marks", (F.size(head) > 1).alias("korean"), several.alias("apart")).join(composed, "apart", "left")
     marks_behind = F.array_join(F.filter("marks", lambda m: m["ccc"] > 0)["c"], "")
     piece = (
-        F.when(F.col("korean"), F.concat(F.coalesce("composed", "apart"), marks_behind))
-        .when(F.col("composed").isNotNull() | (F.size("marks") == 1), F.coalesce("composed", "apart"))
+        F.when(F.size("marks") == 1, F.element_at("marks", 1)["c"])
+        .when(F.col("korean"), F.concat(F.coalesce("composed", "apart"), marks_behind))
+        .when(F.col("composed").isNotNull(), F.col("composed"))
         .otherwise(_compose_prefix(F.col("marks")))
     )
     rebuilt = whole.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("base", piece.alias("s")))), lambda x: x["s"]), "").alias("form"))
@@ -194,24 +204,43 @@ def _compose_prefix(marks: Column) -> Column:
     return F.concat(done["base"], done["rest"])
 
 
-def same_to_the_eye(rows: DataFrame, *, key: str, fields: tuple[str, ...]) -> DataFrame:
-    """(code_a, code_b), smaller first: different keys all of whose ``fields`` look the same while at least one differs in a character.
+def _digest(columns: list[str]) -> Column:
+    """16 bytes that stand for the texts of several columns; the lengths keep apart what would run together."""
+    return F.unhex(F.md5(F.concat(*[F.concat(F.length(c).cast("string"), F.lit(":"), c) for c in columns])))
+
 
+def looks(rows: DataFrame, *, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """(k, look, raw): of each distinct row its key, what its ``fields`` look like together, and the texts as written, both as digests.
+
+    Rows of one look are the same to the eye; among them those of one raw have the very same texts.
     Null and empty count as the same; rows whose fields all are blank to the eye, or without key,
-    take no part. Repeated rows count once; other columns are not read. Keys with the very same
-    texts form one class and only classes that differ are joined.
+    take no part. Repeated rows count once; other columns are not read.
     """
     flat = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"f{i}") for i, f in enumerate(fields)]).distinct()
     names = [f"f{i}" for i in range(len(fields))]
-    # Both results are read several times below, so they are written once.
+    seen = [f"v{i}" for i in range(len(fields))]
+    # Read once for every field.
     forms = cut_lineage(visual_forms(flat.select(F.explode(F.array(*names)).alias("text"))))
-    for i, f in enumerate(names):
-        flat = flat.join(forms.select(F.col("text").alias(f), F.col("form").alias(f"v{i}")), f)
-    looks = [f"v{i}" for i in range(len(names))]
-    seen = cut_lineage(flat.where(F.trim(F.concat(*looks)) != "").select("k", F.unhex(F.md5(F.to_json(F.struct(*looks)))).alias("look"), F.unhex(F.md5(F.to_json(F.struct(*names)))).alias("raw")))
+    for f, v in zip(names, seen):
+        flat = flat.join(forms.select(F.col("text").alias(f), F.col("form").alias(v)), f)
+    return flat.where(F.trim(F.concat(*seen)) != "").select("k", _digest(seen).alias("look"), _digest(names).alias("raw"))
+
+
+def look_links(seen: DataFrame) -> DataFrame:
+    """(look, raw_a, raw_b): the classes, each of the rows of ``looks`` with one look and raw, that look the same but are written differently."""
     classes = seen.groupBy("look", "raw").agg(F.lit(1).alias("one")).drop("one")
-    pairs = classes.alias("x").join(classes.alias("y"), F.expr("x.look = y.look and x.raw < y.raw")).select(F.col("x.look").alias("look"), F.col("x.raw").alias("raw_a"), F.col("y.raw").alias("raw_b"))
+    pairs = classes.alias("x").join(classes.alias("y"), F.expr("x.look = y.look and x.raw < y.raw"))
+    return pairs.select(F.col("x.look").alias("look"), F.col("x.raw").alias("raw_a"), F.col("y.raw").alias("raw_b"))
+
+
+def same_to_the_eye(rows: DataFrame, *, key: str, fields: tuple[str, ...]) -> DataFrame:
+    """(code_a, code_b), smaller first: different keys all of whose ``fields`` look the same while at least one differs in a character.
+
+    Who takes part: see ``looks``. Keys with the very same texts form one class and only classes
+    that differ are joined; whoever needs no pairs reads ``looks`` and ``look_links`` instead.
+    """
+    seen = cut_lineage(looks(rows, key=key, fields=fields))
     a = seen.select("look", F.col("raw").alias("raw_a"), F.col("k").alias("ka"))
     b = seen.select("look", F.col("raw").alias("raw_b"), F.col("k").alias("kb"))
-    found = pairs.join(a, ["look", "raw_a"]).join(b, ["look", "raw_b"]).where("ka <> kb")
+    found = look_links(seen).join(a, ["look", "raw_a"]).join(b, ["look", "raw_b"]).where("ka <> kb")
     return found.select(F.least("ka", "kb").alias("code_a"), F.greatest("ka", "kb").alias("code_b")).distinct()

@@ -36,6 +36,23 @@ def test_same_to_the_eye(spark):
     assert visual.same_to_the_eye(df.limit(0), key="code", fields=("name", "mat_desc")).count() == 0
 
 
+def test_twins_of_more_scripts():
+    assert "".join(map(visual.looks_like, "ꓐꓑꓔⲀⲞⲢԌᎡᏒ")) == "BPTAOPGRR"
+    assert all(len(a) == 1 and a not in visual.TWINS.values() for a in visual.TWINS)
+
+
+def test_pieces_of_long_plain_texts(spark):
+    texts = ["a" * 5000 + "́" + "b" * 5000 + "é" + "中" * 3000, "x" * 10_000 + "\u200b", "́" + "y" * 9000, "Ａ" * 4000]
+    got = {r.text: r.form for r in visual.visual_forms(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert got == {t: looks(t) for t in texts}
+
+
+def test_look_links(spark):
+    rows = [(str(i), "螺栓" if i % 3 else "螺​栓", "M8") for i in range(300)] + [("x", "螺栓", "M9")]
+    seen = visual.looks(spark.createDataFrame(rows, "code string, name string, mat_desc string"), key="code", fields=("name", "mat_desc"))
+    assert seen.count() == 301 and visual.look_links(seen).count() == 1  # one link of two classes for 20,000 pairs
+
+
 @pytest.fixture(scope="module")
 def tiktoken_encoding():
     tiktoken = pytest.importorskip("tiktoken")
