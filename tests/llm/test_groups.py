@@ -78,3 +78,45 @@ def test_learned_precedence(spark):
     assert plain[(11, "manufacturer")] == "u3" and learned[(11, "manufacturer")] == "u2"
     assert all(learned[(i, "manufacturer")] == f"n{i}" for i in range(5))
     assert survivors_of(spark, rows[:0] + [("zz", None, None, None, None, None)], [(1, "zz")]) == {}
+
+
+def test_rules_first_then_precedence(spark):
+    """One key with two records of one day and creator: no rule orders their values, the learned precedence does."""
+    rows = [(f"o{i}", "eng", "1", "Old", "7", f"2024-01-{i + 1:02d}") for i in range(5)] + [(f"n{i}", "eng", "1", "New", "7", f"2024-02-{i + 1:02d}") for i in range(5)]
+    rows += [("t", "eng", "1", "Old", "7", "2024-05-01"), ("t", "eng", "1", "New", "7", "2024-05-01"), ("a", "eng", "1", "Zed", "7", "2024-04-01")]
+    material = spark.createDataFrame(rows, MATERIAL)
+    member = spark.createDataFrame([(i, f"{c}{i}") for i in range(5) for c in "on"] + [(9, "t"), (9, "a")], "dup_group long, code string")
+    ref = spark.createDataFrame([], "creator string, trust_rank int")
+    for undated in ("oldest", "learned"):
+        got = {(r.g, r.field): (r.code, r.value) for r in survivors.surviving(survivors.material_claims(member, material, ref), undated=undated).collect()}
+        assert got[(9, "manufacturer")] == ("t", "New" if undated == "oldest" else min("New", "Old"))
+        assert all(got[(i, "manufacturer")] == (f"n{i}", "New") for i in range(5))
+
+
+def test_a_pair_number_of_many_codes(spark):
+    """Links grow with the codes, not with their product, and connect the same."""
+    rows = [(1, "A-1", f"a{i:03d}") for i in range(200)] + [(1, "B-1", f"b{i:03d}") for i in range(200)] + [(2, "A-2", "p"), (2, "B-2", "p"), (2, "B-2", "q"), (3, "A-3", "r"), (3, "B-3", "r")]
+    df = spark.createDataFrame(rows, "pair_no long, mark string, code string")
+    assert components.pair_links(df).count() <= 402
+    got = {r.code: r.group_code for r in components.duplicate_groups(df).collect()}
+    assert got == {c: "a000" for _, _, c in rows[:400]} | {"p": "p", "q": "p"}
+
+
+def test_hot_vertex_is_spread(spark, monkeypatch):
+    """A vertex with a third of all links is cut into as many parts as it has shares, and none of the join's tasks gets the whole of it."""
+    monkeypatch.setattr(components, "LEAST_HOT", 50)
+    edges = spark.range(3000).selectExpr("if(id % 3 = 0, 0L, id) a", "id + 10000 b")
+    degrees = edges.selectExpr("a v").groupBy("v").count()
+    hot = components._hot(degrees, "v", 3000)
+    salts = {r.key: r.salts for r in hot.collect()}
+    assert salts == {0: 1000 // max(50, 3000 // (8 * 4)) + 1}
+    table = edges.select("a").distinct().selectExpr("a v", "a * 2 c")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = components._looked_up(edges, "a", table, hot)
+        sizes = [r.n for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 3000 and max(sizes) < 1200 and joined.where("c <> a * 2").count() == 0
