@@ -4,7 +4,8 @@ Parents and references are range-partitioned by key together. Behind the shuffle
 range in key order: the parents of a key come first and become sorted arrays, each Arrow batch of
 references is then probed against them by one vectorised binary search. Only the current batch and
 the parents of one key are held. Keys that carry more than their share of the references are
-salted: their references spread over several sub-ranges, to each of which their parents are copied.
+salted: their references spread over as many sub-ranges as they have shares, to each of which their
+parents are copied, so that no sub-range holds more than a share however hot a key is.
 """
 
 from __future__ import annotations
@@ -21,20 +22,16 @@ from plumbline.functions.text import is_blank
 from plumbline.session import shuffle_partitions
 
 _NEVER = np.iinfo(np.int64).max
-#: Sub-ranges of a hot key.
-SALTS = 16
 
 
 def _cover(code: np.ndarray, start: np.ndarray, end: np.ndarray):
     """Sorted (code, start) and the running latest end of the same code."""
     order = np.lexsort((start, code))
     code, start, end = code[order], start[order], end[order]
-    latest = np.empty_like(end)
-    if len(end):
-        # A running maximum that restarts with every code.
-        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-        for a, b in zip(first, np.r_[first[1:], len(code)]):
-            latest[a:b] = np.maximum.accumulate(end[a:b])
+    # A running maximum that restarts with every code: ends as ranks, lifted by their code's number.
+    ends, rank = np.unique(end, return_inverse=True)
+    lift = np.cumsum(np.r_[0, code[1:] != code[:-1]]) * (len(ends) + 1) if len(code) else rank
+    latest = ends[np.maximum.accumulate(rank + lift) - lift] if len(code) else end
     return code, start, latest
 
 
@@ -90,6 +87,12 @@ def _disjoint(start: np.ndarray, end: np.ndarray):
     return start[new], latest[np.r_[np.flatnonzero(new)[1:] - 1, len(start) - 1]]
 
 
+def _hot_keys(refs: DataFrame, rows: int) -> DataFrame:
+    """(k, salts) of the keys above a quarter of a partition's share of ``rows``: at most 4 x partitions of them can exist, with twice as many salts in all, so they may be broadcast."""
+    share = max(1, rows // (4 * shuffle_partitions(refs.sparkSession)))
+    return F.broadcast(refs.groupBy("k").count().where(F.col("count") > share).select("k", F.ceil(F.col("count") / share).cast("int").alias("salts")))
+
+
 def orphan_references(parents: DataFrame, references: DataFrame) -> DataFrame:
     """(source, row_id, at) of each reference whose key no parent held at its time.
 
@@ -108,17 +111,15 @@ def orphan_references(parents: DataFrame, references: DataFrame) -> DataFrame:
         .distinct()
     )
     refs = references.where(~is_blank(F.col("k"))).select("source", "row_id", "k", F.coalesce(micros("at"), F.lit(-(2**63))).alias("lo"))
-    # Keys above a quarter of a partition's share: at most 4 x partitions of them can exist, so they may be broadcast.
-    share = max(1, references.count() // (4 * shuffle_partitions(spark)))
-    hot = F.broadcast(refs.groupBy("k").count().where(F.col("count") > share).select("k", F.lit(True).alias("hot")))
+    hot = _hot_keys(refs, references.count())
     salted_refs = refs.join(hot, "k", "left").select(
         "k",
-        F.when(F.col("hot"), F.pmod(F.xxhash64("row_id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt"),
+        F.coalesce(F.pmod(F.xxhash64("row_id"), F.col("salts")), F.lit(0)).cast("int").alias("salt"),
         F.lit(1).alias("side"), "lo", F.lit(0).cast("long").alias("hi"), "source", "row_id",
     )
     salted_parents = held.join(hot, "k", "left").select(
         "k",
-        F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"),
+        F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0)))).alias("salt"),
         F.lit(0).alias("side"), "lo", "hi", F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("row_id"),
     )
     both = salted_parents.unionByName(salted_refs)

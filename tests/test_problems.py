@@ -12,6 +12,7 @@ from plumbline.functions.dates import parse_day, time_of_day
 from plumbline.functions.measures import parse_unit, plain, price_basis
 from plumbline.functions.numbers import parse_number
 from plumbline.functions.text import is_unfilled
+from plumbline.operators import orphans
 from plumbline.operators.intervals import DisjointIntervals, coverage, price_coverage
 from plumbline.operators.orphans import material_orphans, orphan_references, probe
 from plumbline.operators.snapshots import material_changes
@@ -169,6 +170,27 @@ def test_orphans_with_a_hot_key(spark):
     assert got == {i for i in range(9000) if i % 3 == 0 or i % 100 >= 50}
 
 
+def test_hot_references_are_spread(spark):
+    """A key with a third of all references has as many salts as it has shares, and no task more than a few shares."""
+    refs = spark.sql("select 't' source, id row_id, if(id % 3 = 0, 'hot', concat('k', id)) k, timestamp_ntz'2024-01-01 12:00:00' at from range(30000)")
+    for partitions in (4, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        try:
+            share = 30_000 // (4 * partitions)
+            assert [(r.k, r.salts) for r in orphans._hot_keys(refs, 30_000).collect()] == [("hot", -(-10_000 // share))]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    parents = spark.sql("select 'hot' k, timestamp_ntz'2024-01-01 00:00:00' lo, cast(null as timestamp_ntz) hi")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r.n for r in orphan_references(parents, refs).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        hits = spark.sql("select 'x' source, id row_id, 'none' k, timestamp_ntz'2024-01-01 12:00:00' at from range(30000)")
+        hot = [r.n for r in orphan_references(parents, hits).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 20_000 and sum(hot) == 30_000 and len(hot) == 4 and max(hot) < 12_000
+
+
 def test_orphan_months(spark):
     t = dt.datetime(2024, 3, 31, 23, 59)
     material = spark.createDataFrame([("a", t, None)], "material_id string, landed_at timestamp_ntz, deleted_at timestamp_ntz")
