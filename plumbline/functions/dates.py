@@ -46,3 +46,8 @@ def zone_millis(c: Column, zone: str = "Asia/Shanghai") -> Column:
     number = F.when(s.rlike(r"^\d{12,}$"), s.try_cast("long"))
     local = F.coalesce(F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss")), F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm")))
     return F.coalesce(number, F.unix_millis(F.to_utc_timestamp(local, zone)))
+
+
+def year_before(day: Column) -> Column:
+    """The same day a year before; of 29 February the 28th."""
+    return F.add_months(day, -12)

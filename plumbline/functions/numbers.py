@@ -27,10 +27,10 @@ def pct_change(old: Column, new: Column) -> Column:
 
 
 def first_number(c: Column) -> Column:
-    """The first number anywhere in a text, rounded to two places; 万 behind it multiplies by 10,000. Null without one."""
+    """The first number anywhere in a text, rounded to two places; 万 or 万元 at its end multiplies by 10,000. Null without one."""
     s = F.regexp_replace(narrow_digits(c), r"[,\s]", "")
     n = F.regexp_extract(s, r"(-?\d+(?:\.\d+)?)", 1).try_cast("double")
-    return round2(F.when(s.rlike(r"\d万"), n * 10000).otherwise(n))
+    return round2(F.when(s.rlike(r"万元?$"), n * 10000).otherwise(n))
 
 
 def strict_number(c: Column) -> Column:
@@ -44,6 +44,22 @@ def open_quantity(known: Column, ordered: Column, done: Column) -> Column:
     return F.coalesce(known, F.when(ordered.isNotNull(), F.greatest(F.lit(0.0), ordered - F.coalesce(done, F.lit(0.0)))))
 
 
+#: An amount with a currency word or sign behind it. Fixed value.
+_AMOUNT = r"(\d+(?:\.\d+)?)\s*(?:元|块|¥|￥)"
+
+
 def price_in_text(c: Column) -> Column:
     """The first amount with a currency sign or word behind it."""
-    return F.regexp_extract(c, r"(\d+(?:\.\d+)?)\s*(?:元|块|¥|￥)", 1).try_cast("double")
+    return F.regexp_extract(c, _AMOUNT, 1).try_cast("double")
+
+
+def prices_in_text(c: Column) -> Column:
+    """All such amounts in order; an empty array without one, also for null."""
+    return F.transform(F.coalesce(F.regexp_extract_all(c, F.lit(_AMOUNT), F.lit(1)), F.array().cast("array<string>")), lambda x: x.try_cast("double"))
+
+
+def price_stats(prices: Column) -> Column:
+    """struct(n, mean, low, high) of an array of prices; mean, low and high are null without one."""
+    n = F.size(prices)
+    total = F.aggregate(prices, F.lit(0.0), lambda a, x: a + x)
+    return F.struct(n.alias("n"), F.when(n > 0, total / n).alias("mean"), F.array_min(prices).alias("low"), F.array_max(prices).alias("high"))

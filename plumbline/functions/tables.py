@@ -14,18 +14,28 @@ from pyspark.sql.functions import udtf
 
 #: Header words of each field, after removal of spaces and brackets. Fixed values.
 QUOTE_FIELDS = {
-    "name": ("名称", "品名", "物料名称", "产品名称", "项目", "name", "item"),
-    "unit": ("单位", "unit"),
-    "qty": ("数量", "qty", "quantity"),
-    "price": ("单价", "含税单价", "price", "unitprice"),
-    "amount": ("金额", "总价", "合计", "小计", "amount", "total"),
+    "name": ("名称", "品名", "物料名称", "产品名称", "项目名称", "分项名称", "材料名称", "设备名称", "货物名称", "项目", "分项", "name", "item"),
+    "unit": ("单位", "计量单位", "unit"),
+    "qty": ("数量", "工程量", "qty", "quantity"),
+    "price": ("单价", "综合单价", "含税单价", "price", "unitprice"),
+    "amount": ("金额", "合价", "总价", "合计", "小计", "amount", "total"),
 }
+#: Words that may stand as a unit between name and numbers. Fixed values.
+UNIT_WORDS = frozenset(
+    "t T kg KG g 吨 公斤 千克 m M m2 m3 ㎡ m³ 米 延米 平方米 立方米 km 公里 项 个 台 套 组 批 樘 处 座 孔 根 块 片 张 条 只 付 对 户 人 工日 台班 月 年 次 站 系统 "
+    "pcs PCS pc EA ea set 件 支 把 枚 颗 箱 盒 包 袋 卷 盘 桶 瓶 罐".split()
+)
 _NUMBER = re.compile(r"^[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?$")
-_NOISE = re.compile(r"^(?:|[-=_|+\s]+|(?:合计|总计|小计|备注|说明|注)[:：\s].*|(?:合计|总计))$")
+#: Lines that are no rows, by how they begin. Fixed values.
+_NOISE = re.compile(r"^(?:$|[-=—_·\s|+]+$|序号|合计|小计|总计|备注|说明|注[:：]|以下空白)")
+
 
+def split_row(line: str, at_least: int = 2) -> list[str]:
+    """Cells by pipe, tab, comma (not between thousands), two or more spaces, or single spaces, whichever comes first.
 
-def split_row(line: str) -> list[str]:
-    """Cells by pipe, tab, comma (not between thousands), two or more spaces, or single spaces, whichever comes first."""
+    Commas and wide spaces count only if they give ``at_least`` cells. Empty cells between pipes or
+    tabs stay, those at the ends and between other separators do not.
+    """
     if "|" in line or "\t" in line:
         sep = "|" if "|" in line else "\t"
         cells = [c.strip() for c in line.split(sep)]
@@ -34,11 +44,11 @@ def split_row(line: str) -> list[str]:
         while cells and not cells[-1]:
             cells.pop()
         return cells
-    for pattern in (r",(?!\d{3}(?:\D|$))|，", r"\s{2,}", r"\s+"):
-        cells = [c.strip() for c in re.split(pattern, line.strip())]
-        if len(cells) > 1:
-            return [c for c in cells if c]
-    return [line.strip()] if line.strip() else []
+    for pattern in (r",(?!\d{3}(?:\D|$))|，", r"\s{2,}"):
+        cells = [c.strip() for c in re.split(pattern, line.strip()) if c.strip()]
+        if len(cells) >= at_least:
+            return cells
+    return line.split()
 
 
 def header_of(cells: list[str], fields: dict[str, tuple[str, ...]] = QUOTE_FIELDS) -> dict[str, int] | None:
@@ -58,16 +68,16 @@ def number(cell: str | None) -> float | None:
 
 
 def tail_numbers(cells: list[str]) -> dict | None:
-    """A row without header: two or three numbers at its end are quantity, price and amount."""
-    numbers = []
-    rest = list(cells)
-    while rest and len(numbers) < 3 and number(rest[-1]) is not None:
-        numbers.insert(0, number(rest.pop()))
-    if len(numbers) < 2:
+    """A row without header: the two or three numbers at its end are quantity, price and amount; of four and more nobody knows which is which."""
+    at = len(cells)
+    while at and number(cells[at - 1]) is not None:
+        at -= 1
+    rest, numbers = cells[:at], [number(c) for c in cells[at:]]
+    if not 2 <= len(numbers) <= 3 or len(cells) < 3:
         return None
-    if len(rest) > 1 and rest[0].rstrip(".、").isdigit():
-        rest.pop(0)
-    unit = rest.pop() if len(rest) > 1 and len(rest[-1]) <= 3 else None
+    if len(rest) > 1 and re.fullmatch(r"\d{1,3}[.、]?", rest[0]):
+        rest = rest[1:]
+    unit = rest.pop() if len(rest) > 1 and rest[-1] in UNIT_WORDS else None
     return {"name": " ".join(rest), "unit": unit, "qty": numbers[0], "price": numbers[1], "amount": numbers[2] if len(numbers) == 3 else None} if rest else None
 
 
@@ -75,13 +85,15 @@ def parse_table(text: str | None) -> Iterator[tuple]:
     """(line, name, unit, qty, price, amount) of each row that has a name and a number; lines count from 1."""
     header = None
     for i, line in enumerate((text or "").splitlines(), 1):
-        if _NOISE.match(line.strip()):
+        cells = split_row(line, at_least=3)
+        if len(cells) < 2:
             continue
-        cells = split_row(line)
         found = header_of(cells)
         if found:
             header = found
             continue
+        if _NOISE.match(line.strip()):
+            continue
         if header:
             cell = lambda f: cells[header[f]] if f in header and header[f] < len(cells) else None  # noqa: B023, E731
             row = {"name": cell("name"), "unit": cell("unit"), **{f: number(cell(f)) for f in ("qty", "price", "amount")}}
@@ -99,8 +111,14 @@ STOCK_ROLES = (
 STOCK_NUMBERS = ("opening", "in_qty", "out_qty", "book_qty", "actual_qty", "diff_qty", "price", "in_amount", "diff_amount")
 
 
+#: Words of columns that hold no quantity or amount, whatever else their header says. Fixed values.
+_NO_ROLE = re.compile(r"备注|状态|日期|月份|仓库|库位|经办|盘点人|类别")
+
+
 def role_of(cell: str) -> str | None:
     cell = re.sub(r"\s", "", cell)
+    if _NO_ROLE.search(cell):
+        return None
     return next((role for role, pattern in STOCK_ROLES if re.search(pattern, cell, re.I)), None)
 
 

@@ -51,10 +51,36 @@ def plain_form(c: Column) -> Column:
     return F.translate(s, _SIGNS_FROM, _SIGNS_TO)
 
 
+#: Signs that ``bare_form`` leaves out besides white space; all others, such as * + % # and =, are kept. Fixed values.
+_LEFT_OUT = r"\-_/\\(),;:.，：；、。{}\[\]<>"
+
+
 def bare_form(c: Column) -> Column:
-    """``plain_form`` without white space and punctuation; a decimal point between digits stays apart as DOT."""
+    """``plain_form`` without white space and separating punctuation; a decimal point between digits stays apart as DOT."""
     dotted = F.regexp_replace(plain_form(c), r"(?<=\d)\.(?=\d)", "DOT")
-    return F.regexp_replace(dotted, r"[\s\p{Punct}、，。；：（）【】《》“”‘’·…—～]", "")
+    return F.regexp_replace(dotted, rf"(?U)[\s{_LEFT_OUT}]+", "")
+
+
+#: Endings of company names, taken out in this order. Fixed values.
+COMPANY_WORDS = ("有限公司", "(中国)", "股份", "有限责任公司", "集团", "公司")
+
+
+def company_name(c: Column) -> Column:
+    """A name without the words for the form of the company; null gives an empty text."""
+    out = F.trim(F.coalesce(c, F.lit("")))
+    for word in COMPANY_WORDS:
+        out = F.replace(out, F.lit(word), F.lit(""))
+    return F.trim(out)
+
+
+def masked_secret(c: Column, shown: int = 4) -> Column:
+    """Only the last ``shown`` characters of a secret, asterisks before them; a short one is all asterisks, null stays null."""
+    return F.when(F.length(c) > 2 * shown, F.concat(F.repeat(F.lit("*"), F.length(c) - shown), F.right(c, F.lit(shown)))).otherwise(F.repeat(F.lit("*"), F.length(c)))
+
+
+def money_text(c: Column) -> Column:
+    """A number with thousands commas and two places, a dash for null."""
+    return F.when(c.isNull() | F.isnan(c), F.lit("—")).otherwise(F.format_number(c, 2))
 
 
 def number_set(c: Column) -> Column:

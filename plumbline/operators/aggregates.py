@@ -115,3 +115,25 @@ def histogram(text: Column, pattern: str) -> Column:
     """array of struct(key, n) from all "key(n)" in a text, by a pattern with two groups."""
     keys, counts = F.regexp_extract_all(text, F.lit(pattern), 1), F.regexp_extract_all(text, F.lit(pattern), 2)
     return F.zip_with(keys, counts, lambda k, n: F.struct(k.alias("key"), n.try_cast("int").alias("n")))
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    """(keys, name): the exact median per key; null values take no part, keys without one are left out.
+
+    Values are counted first, on the map side too, and the middle ones found by a running sum over
+    the distinct values in order, so no task holds all values of a key in memory.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    totals = counted.groupBy(*keys).agg(F.sum("__n").alias("__total"))
+    up_to = F.sum("__n").over(W.partitionBy(*keys).orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = counted.withColumn("__to", up_to).join(totals, list(keys))
+    # The ranks of the two middle values, one and the same for an odd number.
+    low, high = F.floor((F.col("__total") + 1) / 2), F.floor((F.col("__total") + 2) / 2)
+    holds = lambda rank: (F.col("__to") >= rank) & (F.col("__to") - F.col("__n") < rank)
+    middle = placed.where(holds(low) | holds(high))
+    return middle.groupBy(*keys).agg(((F.min("__v") + F.max("__v")) / 2).alias(name))
+
+
+def counts_above(df: DataFrame, value: str, thresholds: Sequence[float]) -> DataFrame:
+    """One row: n, and for each threshold how many values reach it, as at_least_<threshold>; null reaches none."""
+    return df.agg(F.count("*").alias("n"), *[F.count_if(F.col(value) >= t).alias(f"at_least_{t:g}") for t in thresholds])

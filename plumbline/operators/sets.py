@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def union_all(*tables: DataFrame) -> DataFrame:
@@ -43,3 +46,18 @@ def clean_values(values: Column) -> Column:
 def words_present(text: Column, words: list[str]) -> Column:
     """Which of the words a text contains, in their order."""
     return F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+
+
+def chunked(ids: DataFrame, column: str, size: int = 80) -> DataFrame:
+    """(column, chunk): distinct non-null ids in order, ``size`` to a chunk, chunks from 1; for services that take a bounded list."""
+    from plumbline.operators.windows import numbered
+
+    n = numbered(ids.select(column).where(F.col(column).isNotNull()).distinct(), [F.col(column)], "__n")
+    return n.select(column, (F.floor((F.col("__n") - 1) / size) + 1).alias("chunk"))
+
+
+def quantity_column(df: DataFrame, known: Sequence[str] = ("quantity", "order_quantity", "purchase_quantity", "qty", "demand_quantity", "num")) -> str | None:
+    """The name of the numeric column that holds the quantity: the first known name, else the first whose name says so, else None."""
+    numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    says = lambda c: "quant" in c.lower() or c.lower().endswith("_qty") or c.lower() == "qty"
+    return next((c for c in known if c in numeric), next(filter(says, numeric), None))

@@ -97,3 +97,16 @@ def greedy_pairs(rows: DataFrame, passes: Sequence[Sequence[Column]], *, key: st
         left = left.join(used, key, "left_anti")
         out = pairs if out is None else out.unionByName(pairs)
     return out
+
+
+def numbered_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "n") -> DataFrame:
+    """Rows numbered from 1 within each key; ``order`` must be unique within a key for a defined result.
+
+    The rows are numbered in the order of keys and ``order`` by range, in parallel, and each key's
+    first number is taken off, so a key of any size is spread over many tasks.
+    """
+    all_rows = cut_lineage(numbered(df, [*map(F.col, keys), *order], "__all"))
+    first = all_rows.groupBy(*keys).agg(F.min("__all").alias("__first"))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
+    joined = all_rows.alias("r").join(first.alias("f"), same[0] if len(same) == 1 else F.expr(" and ".join(f"r.`{k}` <=> f.`{k}`" for k in keys)))
+    return joined.select("r.*", (F.col("__all") - F.col("__first") + 1).alias(name)).drop("__all")

@@ -35,7 +35,7 @@ def events_once(spark: SparkSession, sf: str) -> DataFrame:
 def overdue_events(spark: SparkSession, sf: str) -> DataFrame:
     """Open events of the last week that are more than 8 hours old, oldest first, with their age in whole hours."""
     o = overdue(in_flight(_events(spark, sf), F.col("event_type"), ["click", "view"]), "ts", _now(), hours=8, look_back="7 days")
-    return o.select("event_id", "event_type", "age_hours")
+    return o.orderBy("ts", "event_id").select("event_id", "event_type", "age_hours")
 
 
 def reminders(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,6 +14,7 @@ from plumbline.operators.joins import block_classes, companions, first_filled, f
 from plumbline.operators.sets import character_overlap, clean_values, requested_and_found, symmetric_difference, union_distinct
 from plumbline.operators.windows import greedy_pairs, latest_effective, merge_last, pair_labels, repeats_of_first
 from plumbline.plans.duck import day as duck_day
+from plumbline.session import cut_lineage
 from plumbline.sources.tables import table
 
 TODAY = "2025-06-30"
@@ -40,9 +41,11 @@ def latest_effective_price(spark: SparkSession, sf: str) -> DataFrame:
 def price_index(spark: SparkSession, sf: str) -> DataFrame:
     """Per material: records, effective records, least, exact median and greatest effective price, their ratio, the supplier of the highest."""
     records = _records(spark, sf).groupBy("material_id").agg(F.count("*").alias("n_records"))
-    e = _effective(spark, sf).groupBy("material_id").agg(
-        F.count("*").alias("n_effective"), F.min("unit_price").alias("low"), F.median("unit_price").alias("median"), F.max("unit_price").alias("high"), F.max_by("record_id", F.struct("unit_price", "record_id")).alias("highest_record")
+    effective = cut_lineage(_effective(spark, sf).select("material_id", "record_id", "unit_price"))
+    e = effective.groupBy("material_id").agg(
+        F.count("*").alias("n_effective"), F.min("unit_price").alias("low"), F.max("unit_price").alias("high"), F.max_by("record_id", F.struct("unit_price", "record_id")).alias("highest_record")
     )
+    e = e.join(A.exact_median(effective, ["material_id"], "unit_price"), "material_id")
     out = records.join(e, "material_id", "left").withColumn("n_effective", F.coalesce("n_effective", F.lit(0)))
     return out.select("material_id", "n_records", "n_effective", "low", F.round("median", 8).alias("median"), "high", F.round(F.try_divide("high", "low"), 8).alias("ratio"), "highest_record")
 
@@ -53,8 +56,10 @@ def no_effective_price(spark: SparkSession, sf: str) -> DataFrame:
 
 def paid_against_record(spark: SparkSession, sf: str) -> DataFrame:
     """Exact median paid against exact median effective price, where the greater is at least three times the less."""
-    paid = table(spark, sf, "po_line").where((F.col("price_ex_tax") > 0) & ~is_blank(F.col("material_id"))).groupBy("material_id").agg(F.median("price_ex_tax").alias("paid"), F.round(F.sum("total_ex_tax"), 2).alias("spend"))
-    listed = _effective(spark, sf).groupBy("material_id").agg(F.median("unit_price").alias("listed"))
+    lines = table(spark, sf, "po_line").where((F.col("price_ex_tax") > 0) & ~is_blank(F.col("material_id"))).select("material_id", "price_ex_tax", "total_ex_tax")
+    spend = lines.groupBy("material_id").agg(F.round(F.sum("total_ex_tax"), 2).alias("spend"))
+    paid = A.exact_median(lines, ["material_id"], "price_ex_tax", "paid").join(spend, "material_id")
+    listed = A.exact_median(_effective(spark, sf), ["material_id"], "unit_price", "listed")
     both = paid.join(listed, "material_id").withColumn("ratio", F.round(F.greatest("paid", "listed") / F.least("paid", "listed"), 6))
     return both.where("ratio >= 3").select("material_id", F.round("paid", 8).alias("paid"), F.round("listed", 8).alias("listed"), "ratio", "spend", A.banded(F.col("ratio"), [(10, "high"), (3, "medium")]).alias("band"))
 
@@ -176,7 +181,9 @@ def pair_similarity(spark: SparkSession, sf: str) -> DataFrame:
 def run_diff(spark: SparkSession, sf: str) -> DataFrame:
     """Codes of the first and the last export: resolved, added, unresolved; with their counts."""
     s = table(spark, sf, "material_snapshot").select("snapshot_date", F.upper(F.trim("code")).alias("code"))
-    old, new = s.where("snapshot_date = '2026-01-05'"), s.where("snapshot_date = '2026-03-02'")
+    # One row: the days of the first and of the last export.
+    ends = F.broadcast(s.agg(F.min("snapshot_date").alias("first"), F.max("snapshot_date").alias("last")))
+    old, new = (s.join(ends.select(F.col(e).alias("snapshot_date")), "snapshot_date", "left_semi") for e in ("first", "last"))
     return full_diff(old, new, ["code"])
 
 
@@ -239,6 +246,8 @@ e AS (SELECT * FROM r WHERE unit_price > 0 AND (f IS NULL OR f <= DATE '{TODAY}'
 _INDEX = """, i AS (SELECT material_id, count(*) AS n_effective, min(unit_price) AS low, median(unit_price) AS median, max(unit_price) AS high, arg_max(record_id, (unit_price, record_id)) AS highest_record FROM e GROUP BY 1),
 n AS (SELECT material_id, count(*) AS n_records FROM r GROUP BY 1)"""
 _PLAIN = "translate(trim(regexp_replace(lower(coalesce({c}, '')), '\\s+', ' ', 'g')), '（），：×—φø', '(),:x-ΦΦ')"
+#: A point between digits is marked first; as every mark needs a digit on both sides, two passes find those that share one.
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(" + _PLAIN.format(c="mat_desc") + r", '(\d)\.(\d)', '\1DOT\2', 'g'), '(\d)\.(\d)', '\1DOT\2', 'g'), '[\s\p{Z}\x{1c}-\x{1f}\x{85}\-_/\\(),;:.，：；、。{}\[\]<>]', '', 'g')"
 _NUMS = r"list_sort(list_distinct(regexp_extract_all(concat_ws(' ', mat_desc, name), '\d+(?:\.\d+)?')))"
 
 SQL = {
@@ -263,6 +272,12 @@ SQL = {
       n AS (SELECT code AS key, min(code) OVER b AS class_key, count(*) OVER b - count(*) OVER (PARTITION BY cat, subcat, mat_desc, v) AS n_links FROM d WINDOW b AS (PARTITION BY cat, subcat, mat_desc))
       SELECT DISTINCT key, class_key, n_links FROM n WHERE n_links > 0""",
     "text_forms": f"SELECT DISTINCT code, {_PLAIN.format(c='name')} AS plain_name, array_to_string({_NUMS}, ',') AS numbers FROM (SELECT DISTINCT code, cat, subcat, name, mat_desc, manufacturer, unit, lead_time FROM material)",
+    "bare_descriptions": f"SELECT code, {_BARE} AS bare_desc FROM (SELECT DISTINCT code, cat, subcat, name, mat_desc, manufacturer, unit, lead_time FROM material)",
+    "same_name_classes": f"""WITH d AS (SELECT DISTINCT code, cat, subcat, {_PLAIN.format(c='name')} AS v, {_BARE} AS t, {_NUMS} AS n FROM material WHERE code IS NOT NULL AND cat IS NOT NULL AND subcat IS NOT NULL)
+      SELECT DISTINCT code AS key, min(code) OVER b AS class_key, count(*) OVER b - 1 AS n_links FROM d WINDOW b AS (PARTITION BY cat, subcat, v, t, n) QUALIFY count(*) OVER b > 1""",
+    "same_desc_classes": f"""WITH d AS (SELECT DISTINCT code, cat, subcat, {_BARE} AS t, {_PLAIN.format(c='name')} AS v FROM material WHERE cat IS NOT NULL AND subcat IS NOT NULL AND code IS NOT NULL),
+      n AS (SELECT code AS key, min(code) OVER b AS class_key, count(*) OVER b - count(*) OVER (PARTITION BY cat, subcat, t, v) AS n_links FROM d WINDOW b AS (PARTITION BY cat, subcat, t))
+      SELECT DISTINCT key, class_key, n_links FROM n WHERE n_links > 0""",
     "pair_sheet": """WITH p AS (SELECT pair_no, left(mark, 1) AS s, min((coalesce(code, ''), coalesce(name, ''), coalesce(mat_desc, ''), coalesce(cat, ''))) AS x FROM dup_pair WHERE pair_no IS NOT NULL GROUP BY ALL),
       j AS (SELECT a.pair_no, a.x AS a, b.x AS b, row_number() OVER (ORDER BY a.pair_no) AS n FROM p a JOIN p b ON a.pair_no = b.pair_no AND a.s = 'A' AND b.s = 'B')
       SELECT n, 'A-' || n AS label_a, 'B-' || n AS label_b, a[1] AS code_a, b[1] AS code_b,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.dates import parse_day
 from plumbline.functions.numbers import first_number, price_in_text, strict_number
 from plumbline.functions.tables import StockRows, TableRows
 from plumbline.functions.text import first_match, is_blank, labelled, labelled_counts, named_value
@@ -36,7 +37,7 @@ def labelled_values(spark: SparkSession, sf: str) -> DataFrame:
 
 def year_histogram(spark: SparkSession, sf: str) -> DataFrame:
     """Years that orders of a month name with their counts, written as text and read back."""
-    lines = table(spark, sf, "po_line").groupBy(F.substring("create_time", 1, 4).alias("year")).agg(F.count("*").alias("n")).where("year rlike '^[0-9]{4}$'")
+    lines = table(spark, sf, "po_line").groupBy(F.date_format(parse_day(F.col("create_time")), "yyyy").alias("year")).agg(F.count("*").alias("n")).where("year is not null")
     text = lines.agg(F.array_join(F.array_sort(F.collect_list(F.concat("year", F.lit("("), F.col("n").cast("string"), F.lit(")")))), "、").alias("text"))
     return text.select(F.explode(histogram(F.col("text"), r"(\d{4})\((\d+)\)")).alias("h")).select(F.col("h.key").alias("year"), "h.n")
 
@@ -102,6 +103,8 @@ def strict_numbers(spark: SparkSession, sf: str) -> DataFrame:
 _D = r"(SELECT doc_id, text FROM documents WHERE regexp_replace(text, '[\s\x{85}\x{A0}\x{AD}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{2064}\x{3000}\x{FEFF}]', '', 'g') <> '')"
 SQL = {
     "order_references": f"""SELECT doc_id, nullif(regexp_extract(text, 'PO[0-9]{{7}}'), '') AS first_order, len(regexp_extract_all(text, 'PO[0-9]{{7}}')) AS n_orders, len(list_distinct(regexp_extract_all(text, 'PO[0-9]{{7}}'))) AS n_distinct FROM {_D}""",
+    "amounts_in_text": rf"""SELECT doc_id, try_cast(nullif(regexp_extract(text, '(\d+(?:\.\d+)?)\s*(?:元|块|¥|￥)', 1), '') AS DOUBLE) AS amount,
+      floor(try_cast(regexp_extract(replace(regexp_extract(text, '([0-9][0-9,.]*)', 1), ',', ''), '\d+(?:\.\d+)?') AS DOUBLE) * 100 + 0.5) / 100 AS number FROM {_D}""",
     "year_histogram": "SELECT left(create_time, 4) AS year, count(*) AS n FROM po_line WHERE regexp_matches(create_time, '^[0-9]{4}') GROUP BY 1",
     "form_values": "SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS type, NULL AS missing FROM events",
     "pasted_tables": """WITH l AS (SELECT DISTINCT order_no, row_id, mat_code, qty, price_ex_tax, total_ex_tax FROM po_line WHERE order_no IS NOT NULL AND mat_code IS NOT NULL AND qty IS NOT NULL AND price_ex_tax IS NOT NULL AND total_ex_tax IS NOT NULL AND qty >= 1 AND price_ex_tax >= 0.01)
