@@ -41,6 +41,14 @@ def totals_check(rows: DataFrame, totals: DataFrame, columns: Sequence[str], tol
     return sums.join(stated, "column").where(mismatch(F.col("summed"), F.col("stated"), tolerance))
 
 
+def totals_check_by(rows: DataFrame, totals: DataFrame, keys: Sequence[str], columns: Sequence[str], *, line: str, tolerance: float = 0.01) -> DataFrame:
+    """(keys, line, column, summed, stated): ``totals_check`` for many tables at once; of several totals rows of a key the first by ``line`` counts."""
+    sums = rows.groupBy(*keys).agg(*[F.when(F.count(c) == F.count(F.lit(1)), F.round(F.sum(c), 2)).alias(c) for c in columns]).unpivot(list(keys), list(columns), "column", "summed")
+    stated = totals.groupBy(*keys).agg(F.min(F.struct(F.col(line).alias("__line"), *[F.col(c).cast("double").alias(c) for c in columns])).alias("t"))
+    stated = stated.select(*keys, F.col("t.__line").alias(line), *[F.col(f"t.{c}").alias(c) for c in columns]).unpivot([*keys, line], list(columns), "column", "stated")
+    return sums.join(stated, [*keys, "column"]).where(mismatch(F.col("summed"), F.col("stated"), tolerance)).select(*keys, line, "column", "summed", "stated")
+
+
 def summary(findings: DataFrame) -> DataFrame:
     """Counts by level and the verdict: mismatch with any P0, else incomplete with any P1, else consistent."""
     n = lambda level: F.count_if(F.col("level") == level)
