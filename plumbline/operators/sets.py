@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,3 +61,16 @@ def quantity_column(df: DataFrame, known: Sequence[str] = ("quantity", "order_qu
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     says = lambda c: "quant" in c.lower() or c.lower().endswith("_qty") or c.lower() == "qty"
     return next((c for c in known if c in numeric), next(filter(says, numeric), None))
+
+
+def union_selected(mode: str, modes: Mapping[str, Sequence[str]], sources: Mapping[str, Callable[[], DataFrame]]) -> DataFrame:
+    """The rows of the sources that a mode asks for, with the source's name; the others are never read. An unknown mode is an error."""
+    if mode not in modes:
+        raise ValueError(f"unknown mode {mode}")
+    return union_all(*[sources[name]().withColumn("source", F.lit(name)) for name in modes[mode]])
+
+
+def limited(df: DataFrame, n: int, order: Sequence[Column]) -> tuple[DataFrame, bool]:
+    """The first ``n`` rows in order, and whether more were left out."""
+    first = df.orderBy(*order).limit(n + 1)
+    return df.orderBy(*order).limit(n), first.count() > n

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,10 +49,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/plumbline-{uuid.uuid4().hex}"
+    for folders in _open:
+        folders.append(folder)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+#: Folders written within each open ``temporary_tables``.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what ``cut_lineage`` wrote within it; results must be written or collected by then."""
+    folders: list[str] = []
+    _open.append(folders)
+    try:
+        yield
+    finally:
+        _open[:] = [f for f in _open if f is not folders]
+        for folder in folders:
+            drop_folder(spark, folder)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the session's file systems; one that does not exist is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -59,7 +86,13 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores.
 
     For work that is heavy per row: a few small files would otherwise keep most cores idle. Input
-    that already has enough partitions, as any large one has, is returned as it is, without a shuffle.
+    of as many files or splits as cores, as any large one has, is returned as it is, without a
+    shuffle. Only the plan's files and size are looked at; nothing is executed.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    return df if size >= cores * split else df.repartition(cores)

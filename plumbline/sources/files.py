@@ -9,6 +9,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import is_blank
+
 
 def latest_file(folder: str, pattern: str, exclude: str | None = None) -> str | None:
     """The most recently modified file whose name matches, or None."""
@@ -45,6 +47,22 @@ def read_export(spark: SparkSession, path: str, rules: Sequence[tuple[str, Seque
     return df.select(*columns, *[F.lit(v).alias(k) for k, v in (extra or {}).items()])
 
 
+def read_positions(spark: SparkSession, path: str, positions: Mapping[str, int], *, sep: str = ",", first: str | None = None, exclude: Mapping[str, Sequence[str]] | None = None, header: bool = True) -> DataFrame:
+    """A delimited export as text columns by position, from 0; positions beyond the row are null.
+
+    Rows whose ``first`` field is blank are left out, and those with one of the values of
+    ``exclude`` in a field; a null there excludes nothing.
+    """
+    df = spark.read.option("header", header).option("sep", sep).csv(path)
+    names = df.columns
+    out = df.select(*[(F.col(f"`{names[i]}`") if i < len(names) else F.lit(None)).cast("string").alias(field) for field, i in positions.items()])
+    if first is not None:
+        out = out.where(~is_blank(F.col(first)))
+    for field, values in (exclude or {}).items():
+        out = out.where(~F.coalesce(F.trim(field).isin(*values), F.lit(False)))
+    return out
+
+
 def purchase_rows(df: DataFrame, *, day: str, positive_price: bool = True) -> DataFrame:
     """Rows of an order number, a material and the day; with a price above zero where asked."""
     kept = df.where(F.col("po").startswith("PO") & (F.coalesce(F.trim("material_id"), F.lit("")) != "") & (F.to_date(F.try_to_timestamp("order_date")) == F.lit(day).cast("date")))

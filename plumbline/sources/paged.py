@@ -9,7 +9,8 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from itertools import count
 
@@ -57,16 +58,47 @@ def normalize(raw, size: int) -> Page:
     return Page(items, total, (not last) if isinstance(last, bool) else len(items) >= size)
 
 
+def envelope(raw, size: int) -> Page:
+    """``normalize`` for a service that pages: rows come from the envelope's list alone, so an envelope without one has none."""
+    if not isinstance(raw, dict) or not any(isinstance(raw.get(k), list) for k in ROW_KEYS):
+        return Page([], None, False)
+    return normalize(raw, size)
+
+
+def whole(data, size: int = 0) -> Page:
+    """The rows of a service that gives everything at once: a list, the list under ``items``, or one object; there is never a next page."""
+    if isinstance(data, dict):
+        data = data["items"] if isinstance(data.get("items"), list) else [data]
+    return Page(data, len(data), False) if isinstance(data, list) else Page([], 0, False)
+
+
+class Retrying:
+    """A fetch function that is called up to ``attempts`` times, ``wait`` seconds apart and twice as long after each failure."""
+
+    def __init__(self, fetch: Callable, attempts: int = 3, wait: float = 2.0):
+        self.fetch, self.attempts, self.wait = fetch, attempts, wait
+
+    def __call__(self, *args):
+        for n in range(1, self.attempts + 1):
+            try:
+                return self.fetch(*args)
+            except Exception:  # noqa: BLE001 - whatever failed, the last failure is the caller's
+                if n == self.attempts:
+                    raise
+                time.sleep(self.wait * 2 ** (n - 1))
+
+
 def _rows(page: int, p: Page) -> Iterator[tuple[int, int, str]]:
     for i, item in enumerate(p.items):
         yield page, i, json.dumps(item, ensure_ascii=False)
 
 
-def scan_pages(spark: SparkSession, fetch: Callable[[int, int], object], *, size: int = 100, max_pages: int = 1000, wave: int = 32) -> tuple[DataFrame, bool]:
+def scan_pages(spark: SparkSession, fetch: Callable[[int, int], object], *, size: int = 100, max_pages: int = 1000, wave: int = 32, read: Callable[[object, int], Page] = normalize) -> tuple[DataFrame, bool]:
     """All rows of a paged service as (page, ordinal, item as JSON), and whether ``max_pages`` cut it off.
 
-    ``fetch(page, size)`` runs on the executors, ``wave`` pages at a time; the driver sees one flag
-    per page. Each wave is written to the shared folder, so no page is fetched twice.
+    ``fetch(page, size)`` runs on the executors, ``wave`` pages at a time; ``read`` takes its answer
+    apart (``envelope``, ``whole``, or ``normalize`` for either). The driver sees one flag per page.
+    Each wave is written to the shared folder, so no page is fetched twice.
     """
     out, start = None, 0
     while start < max_pages:
@@ -75,7 +107,7 @@ def scan_pages(spark: SparkSession, fetch: Callable[[int, int], object], *, size
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for page in pdf["id"].tolist():
-                    p = normalize(fetch(int(page), size), size)
+                    p = read(fetch(int(page), size), size)
                     rows = list(_rows(int(page), p)) or [(int(page), -1, None)]
                     yield pd.DataFrame({"page": [r[0] for r in rows], "ordinal": [r[1] for r in rows], "item": [r[2] for r in rows], "has_next": p.has_next})
 
@@ -215,3 +247,19 @@ def fetch_details(ids: DataFrame, fetch: Callable[[str], object], *, id: str, th
                 yield pd.DataFrame({"id": pdf["id"], "item": [g[0] for g in got], "error": [g[1] for g in got]})
 
     return ids.select(F.col(id).cast("string").alias("id")).where("id is not null").mapInPandas(run, "id string, item string, error string")
+
+
+def enriched(headers: DataFrame, sources: Mapping[str, Callable[[str], object]], *, id: str, threads: int = 5) -> DataFrame:
+    """``headers`` with a column of JSON for each source, and ``<source>_error``.
+
+    Each distinct id is fetched once from each source. A failed call leaves that source null for that
+    header and states the error, stops nothing and touches no other source; an answer without items
+    is JSON all the same, so "failed" and "none" can be told apart. Every header stays, those
+    without id with nulls.
+    """
+    out = headers
+    for name, fetch in sources.items():
+        got = fetch_details(headers.select(F.col(id).cast("string").alias("id")).distinct(), fetch, id="id", threads=threads)
+        got = got.select(F.col("id").alias(f"__{name}"), F.col("item").alias(name), F.col("error").alias(f"{name}_error"))
+        out = out.join(got, F.col(id).cast("string") == F.col(f"__{name}"), "left").drop(f"__{name}")
+    return out

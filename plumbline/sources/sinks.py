@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from plumbline.operators.windows import capped_sections
+from plumbline.session import drop_folder
 
 
 def write_tables(tables: Mapping[str, DataFrame], folder: str) -> None:
@@ -42,27 +43,61 @@ def _exists(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+#: Buckets of a state table; fixed when it is first written, since a key's bucket follows from it.
+BUCKETS = 64
+
+
+def _pointer(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(bucket, version): the current version of each bucket of a state table, a row per bucket at most; None without a state."""
+    log = _exists(spark, f"{folder}/current")
+    return None if log is None else log.groupBy("bucket").agg(F.max("version").alias("version"))
+
+
+def _read_buckets(spark: SparkSession, folder: str, pointer: DataFrame) -> DataFrame:
+    """The current rows; each bucket from the folder of its version, so nothing else is read."""
+    paths = [f"{folder}/data/version={r.version}/bucket={r.bucket}" for r in pointer.collect()]
+    return spark.read.option("basePath", f"{folder}/data").parquet(*paths).drop("version", "bucket")
+
+
 def upsert(spark: SparkSession, folder: str, rows: DataFrame, key: str, order: str) -> str:
     """Merge rows into a state table: the greatest ``order`` per key wins. Returns the new version's path.
 
-    Versions are written side by side and a pointer row names the current one, so a reader never
-    sees half a state and a repeated batch changes nothing.
+    Only the buckets that the rows fall into are read and written again. Versions are written side
+    by side, and rows of a log name the current one of each bucket, so a reader never sees half a
+    state and a repeated batch changes nothing. A bucket keeps its current version and the one
+    before, for readers that are under way; older ones are deleted. An empty batch writes a
+    version without rows.
     """
-    pointer = _exists(spark, f"{folder}/current")
-    version = (pointer.agg(F.max("version")).head()[0] or 0) if pointer is not None else 0
-    both = rows if not version else spark.read.parquet(f"{folder}/v{version}").unionByName(rows)
-    rest = [c for c in rows.columns if c != key]
-    merged = both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(F.col(order), F.xxhash64(*rest))).alias("r")).select(key, "r.*").select(*rows.columns)
-    path = f"{folder}/v{version + 1}"
-    merged.write.mode("overwrite").parquet(path)
-    spark.range(1).select(F.lit(version + 1).alias("version")).write.mode("append").parquet(f"{folder}/current")
+    names = rows.columns
+    bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+    touched = {r.bucket for r in bucketed.select("bucket").distinct().collect()}
+    log = _exists(spark, f"{folder}/current")
+    known: dict[int, list[int]] = {}
+    for r in [] if log is None else log.select("bucket", "version").collect():
+        known.setdefault(r.bucket, []).append(r.version)
+    version = max((v for versions in known.values() for v in versions), default=0) + 1
+    both, old = bucketed, [f"{folder}/data/version={max(known[b])}/bucket={b}" for b in sorted(touched & known.keys()) if b >= 0]
+    if old:
+        both = both.unionByName(spark.read.schema(bucketed.schema).option("basePath", f"{folder}/data").parquet(*old).select(*bucketed.columns))
+    rest = [c for c in names if c != key]
+    merged = both.groupBy("bucket", key).agg(F.max_by(F.struct(*rest), F.struct(F.col(order), F.xxhash64(*rest))).alias("r")).select("bucket", key, "r.*").select("bucket", *names)
+    path = f"{folder}/data/version={version}"
+    merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    entries = spark.createDataFrame([(b, version) for b in sorted(touched)] or [(-1, version)], "bucket int, version long")
+    entries.coalesce(1).write.mode("append").parquet(f"{folder}/current")
+    for bucket in touched & known.keys():
+        for stale in sorted(known[bucket])[:-1]:
+            drop_folder(spark, f"{folder}/data/version={stale}/bucket={bucket}")
     return path
 
 
 def state(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The current version of a state table, or None."""
-    pointer = _exists(spark, f"{folder}/current")
-    return spark.read.parquet(f"{folder}/v{pointer.agg(F.max('version')).head()[0]}") if pointer is not None else None
+    """The current rows of a state table, or None where nothing was ever written."""
+    pointer = _pointer(spark, folder)
+    if pointer is None:
+        return None
+    filled = pointer.where("bucket >= 0")
+    return _read_buckets(spark, folder, filled) if not filled.isEmpty() else None
 
 
 def append_log(rows: DataFrame, folder: str) -> None:
@@ -74,10 +109,13 @@ def newest(log: DataFrame, by: str, n: int) -> DataFrame:
     return log.orderBy(F.col(by).desc()).limit(n)
 
 
-def html_report(lines: DataFrame, section: str, title: str) -> str:
-    """A page of capped sections (see ``report_lines``); only what the caps let through reaches the driver."""
+def html_report(lines: DataFrame, section: str, title: str, most: int = 100_000) -> str:
+    """A page of capped sections (see ``report_lines``); more than ``most`` lines in all are an error, since no reader and no driver has use for them."""
     from html import escape
 
+    if lines.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} lines")
+
     out, last = [f"<h1>{escape(title)}</h1>"], None
     for r in lines.orderBy(section, "position").collect():
         if r[section] != last:

@@ -70,3 +70,11 @@ def test_core_needs_no_llm_subpackage():
     assert done.stdout.strip() == "ok", done.stderr
     if importlib.util.find_spec("plumbline.llm") is None:
         assert not any(n.startswith(("p1_", "p4_", "p8_")) for n in QUERIES)
+
+
+def test_all_core_queries_without_the_llm_subpackage():
+    code = "import sys, warnings; warnings.simplefilter('ignore'); sys.modules['plumbline.llm'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), [n for n in e.queries() if n.startswith(('p1_', 'p4_', 'p7_', 'p8_', 'p9_', 'p10_'))])"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(entry.__file__))
+    llm = [n for n in QUERIES if n.startswith(("p1_", "p4_", "p7_", "p8_", "p9_", "p10_"))]
+    n, m, left = done.stdout.strip().split(" ", 2)
+    assert (int(n), left) == (len(QUERIES) - len(llm), "[]") and int(m) == len(set(SQL) - set(llm)), done.stderr

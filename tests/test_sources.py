@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators.sets import limited, union_selected
 from plumbline.runner import cut, run_script
 from plumbline.sources import catalog, files, paged, sinks
 from plumbline.streaming.intervals import coverage_stream
@@ -179,3 +180,151 @@ def test_stream_of_reminders(spark, tmp_path):
     with pytest.raises(ZeroDivisionError):
         commit_after_send(f"{tmp_path}/fails", lambda rows: 1 / 0)(got, 0)
     assert sinks.state(spark, f"{tmp_path}/fails") is None
+
+
+def test_envelopes_and_whole_lists():
+    assert paged.envelope({"content": None}, 2) == paged.Page([], None, False) and paged.envelope([1, 2], 2) == paged.Page([], None, False)
+    assert paged.envelope({"items": [1, 2]}, 2) == paged.Page([1, 2], None, True)
+    assert paged.whole([1, 2], 2) == paged.Page([1, 2], 2, False) and paged.whole({"items": [1]}) == paged.Page([1], 1, False)
+    assert paged.whole({"a": 1}) == paged.Page([{"a": 1}], 1, False) and paged.whole(None) == paged.Page([], 0, False) == paged.whole(3)
+
+
+def test_retry():
+    calls = []
+
+    def fetch(x):
+        calls.append(x)
+        if len(calls) < 3:
+            raise OSError("away")
+        return x
+
+    assert paged.Retrying(fetch, wait=0)(7) == 7 and len(calls) == 3
+    with pytest.raises(OSError):
+        paged.Retrying(_fails, attempts=2, wait=0)(1)
+
+
+def _fails(*_):
+    raise OSError("away")
+
+
+def test_services_by_kind(spark):
+    def fetch(r):
+        if r.entity == "md.company_code":  # ignores paging: read once all the same
+            return [{"id": i} for i in range(100)]
+        page = r.body["page"] if r.body and "page" in r.body else int(r.params["page"])
+        rows = [{"id": 10 * page + i, "asked": [sorted(r.params), sorted(r.body or {}), r.module, r.headers]} for i in range(10)]
+        return {"content": rows if page < 3 else None}
+
+    def scan(entity, **kw):
+        df, truncated = catalog.scan_service(spark, entity, fetch, size=10, **kw)
+        got = [json.loads(r.item) for r in df.orderBy("page", "ordinal").collect()]
+        return [g["id"] for g in got], got[0].get("asked"), truncated
+
+    assert scan("md.company_code") == (list(range(100)), None, False)
+    assert scan("md.plant", filters={"code": "a", "name": None}, columns=["code", "name"]) == (list(range(30)), [["code", "page", "size"], [], None, None], False)
+    assert scan("mm.rfq", filters={"code": "a"}, columns=["code"]) == (list(range(30)), [["page", "size"], ["code"], None, None], False)
+    assert scan("pp.demand_supply", filters={"code": "a"}, columns=["code"]) == (list(range(30)), [[], ["code", "page", "size"], None, None], False)
+    assert scan("fn.fapiao", module="ar", company="c1")[1] == [["page", "size"], [], "ar", {"company": "c1"}]
+    assert scan("fn.fapiao", module="ap")[1][3] is None
+    assert scan("md.plant", max_pages=2) == (list(range(20)), [["page", "size"], [], None, None], True)
+    assert scan("md.plant", path="below")[1][0] == ["page", "path", "size"]
+    period = {"from_posting_period_id": "p1", "to_posting_period_id": "p2"}
+    columns = ["posting_period_id"]
+    assert scan("fn.payment_receipt", module="ap", filters=period, columns=columns)[0] == list(range(30))
+    for bad in ({"module": None, "filters": period}, {"module": "xx", "filters": period}, {"module": "ar", "filters": {"from_posting_period_id": "p1"}}, {"module": "ar", "filters": {"to_posting_period_id": "p1"}}, {"module": "ar"}):
+        with pytest.raises(ValueError):
+            catalog.scan_service(spark, "fn.payment_receipt", _fails, columns=columns, **bad)
+    with pytest.raises(ValueError):
+        catalog.scan_service(spark, "md.plant", _fails, module="ar")
+    with pytest.raises(KeyError):
+        catalog.scan_service(spark, "md.nothing", _fails)
+
+
+def test_declared_filters():
+    catalog.check_filter("md.plant", {"from_code": 1, "codes": [1]}, ["code"])
+    catalog.declare("md.plant", ["code", "from_day"], [r"x_\d"])
+    try:
+        catalog.check_filter("md.plant", {"code": 1, "from_day": 2, "x_1": 3}, ["code"])
+        for bad in ("from_code", "codes", "to_day", "x_", "name"):
+            with pytest.raises(ValueError, match=bad):
+                catalog.check_filter("md.plant", {"code": 1, bad: 1}, ["code", "name"])
+        catalog.check_filter("md.plant", {}, [])
+        with pytest.raises(KeyError):
+            catalog.declare("md.nothing", [])
+    finally:
+        catalog.undeclare("md.plant")
+
+
+def test_enriched(spark):
+    def items(key):
+        if key == "2":
+            raise ValueError("broken")
+        return [] if key == "3" else [{"n": key}]
+
+    def broken(key):
+        raise OSError("away")
+
+    headers = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (1, "d"), (None, "e")], "id int, name string")
+    got = {r.name: (r.items, r.items_error, r.notes, r.notes_error) for r in paged.enriched(headers, {"items": items, "notes": broken}, id="id").collect()}
+    away = "OSError: away"
+    assert got == {"a": ('[{"n": "1"}]', None, None, away), "b": (None, "ValueError: broken", None, away), "c": ("[]", None, None, away), "d": ('[{"n": "1"}]', None, None, away), "e": (None, None, None, None)}
+
+
+def test_positions(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("x,y,z\nM1,n1,线材\n,n2,线材\nM3,n3,成品柜\nM4,n4,\n")
+    df = files.read_positions(spark, str(tmp_path / "p.csv"), {"code": 0, "cat": 2, "far": 9}, first="code", exclude={"cat": ["成品柜", "外购成套"]})
+    assert {tuple(r) for r in df.collect()} == {("M1", "线材", None), ("M4", None, None)}
+
+
+def test_state_by_buckets(spark, tmp_path):
+    t = f"{tmp_path}/s"
+    schema = "id string, at_ms long"
+    whole = spark.range(500).selectExpr("cast(id as string) id", "id at_ms")
+    sinks.upsert(spark, t, whole, "id", "at_ms")
+    for n in range(3):
+        path = sinks.upsert(spark, t, spark.createDataFrame([("7", 1000 + n), (None, n)], schema), "id", "at_ms")
+        assert len(os.listdir(path)) <= 4  # two buckets, besides the marks of the writer
+    got = {r.id: r.at_ms for r in sinks.state(spark, t).collect()}
+    assert got == {str(i): i for i in range(500)} | {"7": 1002, None: 2}
+    bucket = next(b for b in os.listdir(path) if b.startswith("bucket="))
+    assert sum(os.path.isdir(f"{t}/data/{v}/{bucket}") for v in os.listdir(f"{t}/data")) == 2  # the current one and the one before
+    sinks.upsert(spark, t, spark.createDataFrame([], schema), "id", "at_ms")
+    assert sinks.state(spark, t).count() == 501
+    sinks.upsert(spark, f"{t}2", spark.createDataFrame([], schema), "id", "at_ms")
+    assert sinks.state(spark, f"{t}2") is None
+
+
+def test_temporary_tables(spark):
+    from plumbline.session import cut_lineage, temporary_tables
+
+    with temporary_tables(spark):
+        df = cut_lineage(spark.range(3))
+        folder = os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+        assert df.count() == 3 and os.path.isdir(folder)
+    assert not os.path.exists(folder)
+
+
+def test_spread_runs_nothing(spark):
+    from plumbline.session import spread
+
+    grouped = spark.range(100).groupBy("id").count()
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    assert spread(grouped).count() == 100
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) <= before + 3
+    assert spread(spark.createDataFrame([], "a int")).count() == 0
+
+
+def test_selected_sources(spark):
+    read = []
+
+    def source(n):
+        return lambda: read.append(n) or spark.range(n).withColumn("n", F.lit(n))
+
+    modes = {"full": ["a", "b"], "basic": ["a"]}
+    got = union_selected("basic", modes, {"a": source(2), "b": source(3)})
+    assert got.count() == 2 and read == [2] and {r.source for r in got.collect()} == {"a"}
+    assert union_selected("full", modes, {"a": source(2), "b": source(3)}).count() == 5
+    with pytest.raises(ValueError):
+        union_selected("x", modes, {})
+    rows, more = limited(spark.range(5), 3, [F.col("id")])
+    assert [r.id for r in rows.collect()] == [0, 1, 2] and more and not limited(spark.range(3), 3, [F.col("id")])[1]
