@@ -90,9 +90,8 @@ class MinimalPerfectHash:
 class Encoder:
     """Encodes texts with one rank file."""
 
-    def __init__(self, path: str = DEFAULT_RANKS):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    def __init__(self, vocabulary: bytes):
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
         self.find = regex.compile(PATTERN).findall
         words = list(self.ranks)
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
@@ -179,7 +178,21 @@ class Encoder:
 @lru_cache(maxsize=2)
 def encoder(path: str = DEFAULT_RANKS) -> Encoder:
     """One encoder per Python worker."""
-    return Encoder(path)
+    return Encoder(read_vocabulary(path))
+
+
+@lru_cache(maxsize=2)
+def encoder_of(vocabulary: bytes) -> Encoder:
+    """The same from the file's content."""
+    return Encoder(vocabulary)
+
+
+def read_vocabulary(path: str) -> bytes:
+    """The vocabulary file; one of more than 64 MB is refused, so it may be sent along with every job."""
+    if os.path.getsize(path) > 64 << 20:
+        raise ValueError(f"{path}: too large for a vocabulary")
+    with open(path, "rb") as f:
+        return f.read()
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -209,9 +222,11 @@ def encode_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str
         schema = T.StructType([T.StructField(doc_id, kind), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
     n_keys, names = len(columns) - 1, schema.names
+    # Broadcast, so that executors need no file of their own.
+    vocabulary = documents.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
+        e = encoder_of(vocabulary.value)
         for batch in batches:
             texts = batch.column(n_keys).to_pylist()
             for a, b in _slices(texts):

@@ -234,3 +234,16 @@ def test_places_in_long_texts(spark):
         got.setdefault(r.doc_id, []).append((r.sent_start, r.sent_end))
     for i, n in enumerate(lengths):
         assert got[i] == [(2 + 12 * k, 13 + 12 * k) for k in range(n)]
+
+
+def test_vocabulary_goes_along(spark, tmp_path):
+    """The file is added to the job, so a worker without it at that path finds it among the job's files."""
+    import shutil
+
+    path = str(tmp_path / "own_copy.tiktoken")
+    shutil.copy(bpe.DEFAULT_RANKS, path)
+    df = spark.createDataFrame([(1, "hello"), (2, None)], "doc_id long, text string")
+    want = {r.doc_id: r.ids for r in bpe.encode_documents(df).collect()}
+    encoded = bpe.encode_documents(df, path=path)
+    shutil.move(path, path + ".away")
+    assert {r.doc_id: r.ids for r in encoded.collect()} == want
