@@ -46,7 +46,7 @@ _SIGNS_FROM, _SIGNS_TO = "（），：×—φø", "(),:x-ΦΦ"
 
 
 def plain_form(c: Column) -> Column:
-    """Lower case, trimmed, white space runs as one space, look-alike signs unified; null gives an empty text."""
+    """Lower case, trimmed, runs of ASCII white space as one space, look-alike signs unified; null gives an empty text."""
     s = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
     return F.translate(s, _SIGNS_FROM, _SIGNS_TO)
 

@@ -81,15 +81,6 @@ def test_tree_is_followed_to_its_end(spark):
         descendants(edges, root, max_depth=2)
 
 
-def test_sentences_are_cut_from_the_text(spark):
-    from plumbline.llm.sentences import sentence_spans
-
-    df = spark.createDataFrame([(1, " 😀好。Why? x."), (1, "A b."), (2, None), (3, " ")], "doc_id long, text string")
-    got = sentence_spans(df, sentence="sentence")
-    assert got.columns == ["doc_id", "sent_start", "sent_end", "sentence"]
-    assert rows_of(got) == collections.Counter([(1, 1, 4, "😀好。"), (1, 4, 8, "Why?"), (1, 9, 12, "x."), (1, 0, 4, "A b.")])
-
-
 def test_pairs_by_name_then_description(spark, folder):
     from plumbline.plans.master import one_to_one_pairs
 
