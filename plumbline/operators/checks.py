@@ -34,6 +34,13 @@ def blank_cells(rows: DataFrame, *, row: str, columns: Sequence[str], blank) ->
     return cells.where(blank(F.col("cell"))).select(row, "column")
 
 
+def unreadable_cells(rows: DataFrame, *, row: str, columns: Sequence[str], blank, number) -> DataFrame:
+    """(row, column, state) of each cell without a number: ``blank`` where the predicate says so, else ``unparseable``; a cell is never both."""
+    cells = rows.select(row, *[F.col(c).cast("string").alias(c) for c in columns]).unpivot([row], list(columns), "column", "cell")
+    state = F.when(blank(F.col("cell")), "blank").when(number(F.col("cell")).isNull(), "unparseable")
+    return cells.withColumn("state", state).where("state is not null").select(row, "column", "state")
+
+
 def totals_check(rows: DataFrame, totals: DataFrame, columns: Sequence[str], tolerance: float = 0.01) -> DataFrame:
     """(column, summed, stated) where the stated total differs from the sum; a column with an unknown cell is skipped."""
     sums = rows.agg(*[F.when(F.count(c) == F.count(F.lit(1)), F.sum(c)).alias(c) for c in columns]).unpivot([], list(columns), "column", "summed")

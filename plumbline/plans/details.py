@@ -9,14 +9,15 @@ from plumbline.functions.dates import parse_day, year_before
 from plumbline.functions.numbers import parse_number, pct_change, price_stats, prices_in_text
 from plumbline.functions.packs import BARE, CONTAINERS, NARROW, PATTERNS, WIDE, pack_spec
 from plumbline.functions.tables import StockRows, TableRows
-from plumbline.functions.text import company_name, is_blank, keyword_flag, masked_secret, money_text
+from plumbline.functions.text import company_name, is_blank, is_unfilled, keyword_flag, masked_secret, money_text
 from plumbline.operators import aggregates as A
-from plumbline.operators.checks import row_findings, totals_check_by
+from plumbline.operators.checks import row_findings, totals_check_by, unreadable_cells
 from plumbline.operators.joins import first_per_key
 from plumbline.operators.sets import chunked, quantity_column
 from plumbline.operators.windows import numbered_within
 from plumbline.plans import spend
 from plumbline.plans.duck import day as duck_day
+from plumbline.plans.duck import unfilled
 from plumbline.sources.tables import table
 
 #: Words of the components whose prices ``component_prices`` lists; a parameter.
@@ -78,6 +79,20 @@ def component_prices(spark: SparkSession, sf: str) -> DataFrame:
     return m.where((F.col("price") > 0) & keyword_flag(F.concat_ws(" ", "name", "mat_desc"), COMPONENTS, [])).select("code", "price").distinct()
 
 
+def unreadable_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices of the master that are no number: not filled, or filled with something else."""
+    m = table(spark, sf, "material").select("code", "price").distinct()
+    return unreadable_cells(m, row="code", columns=["price"], blank=is_unfilled, number=parse_number).distinct()
+
+
+def sole_source_spend(spark: SparkSession, sf: str) -> DataFrame:
+    """Spend on each material that a single supplier delivers."""
+    lines = table(spark, sf, "po_line").where(~is_blank(F.col("supplier_code")) & F.col("material_id").isNotNull() & (F.col("total_ex_tax") > 0))
+    # One row per material and supplier before anything is gathered, so a hot material is added up on the map side.
+    each = lines.groupBy("material_id", "supplier_code").agg(F.sum("total_ex_tax").alias("spend"))
+    return each.groupBy("material_id").agg(F.count("*").alias("n"), F.first("supplier_code").alias("supplier_code"), F.round(F.sum("spend"), 2).alias("spend")).where("n = 1").drop("n")
+
+
 def company_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier_ref").select("supplier_code", company_name(F.col("supplier_name")).alias("short_name"))
 
@@ -206,6 +221,9 @@ SQL = {
     "last_year_lines": f"SELECT strftime(day, '%Y-%m') AS month, count(*) AS n, round(sum(total_ex_tax), 2) AS amount FROM {_L} WHERE total_ex_tax > 0 AND day >= {_T} - INTERVAL 12 MONTH AND day < {_T} GROUP BY 1",
     "component_prices": r"""SELECT DISTINCT code, p AS price FROM (SELECT code, lower(concat_ws(' ', name, mat_desc)) AS t, try_cast(regexp_replace(translate(price, '０１２３４５６７８９／－．，：＋￥　', '0123456789/-.,:+¥ '), '[¥$€元,\s]', '', 'g') AS DOUBLE) AS p FROM material)
       WHERE p > 0 AND (contains(t, '断路器') OR contains(t, '端子') OR contains(t, '电缆') OR contains(t, 'led') OR contains(t, 'cable'))""",
+    "unreadable_prices": rf"""SELECT DISTINCT code, 'price' AS "column", state FROM (SELECT code, CASE WHEN {unfilled('price')} THEN 'blank'
+      WHEN NOT regexp_full_match(regexp_replace(regexp_replace(translate(price, '０１２３４５６７８９／－．，：＋￥　', '0123456789/-.,:+¥ '), '[¥$€元,\s]', '', 'g'), '^\((.*)\)$', '-\1'), '[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?') THEN 'unparseable' END AS state FROM material) WHERE state IS NOT NULL""",
+    "sole_source_spend": "SELECT material_id, min(supplier_code) AS supplier_code, round(sum(total_ex_tax), 2) AS spend FROM po_line WHERE trim(coalesce(supplier_code, '')) <> '' AND material_id IS NOT NULL AND total_ex_tax > 0 GROUP BY 1 HAVING count(DISTINCT supplier_code) = 1",
     "company_names": "SELECT supplier_code, trim(replace(replace(replace(replace(replace(replace(trim(coalesce(supplier_name, '')), '有限公司', ''), '(中国)', ''), '股份', ''), '有限责任公司', ''), '集团', ''), '公司', '')) AS short_name FROM supplier_ref",
     "masked_spend": """SELECT CASE WHEN length(supplier_code) > 6 THEN repeat('*', length(supplier_code) - 3) || right(supplier_code, 3) ELSE repeat('*', length(supplier_code)) END AS supplier,
       coalesce(format('{:,.2f}', round(sum(total_ex_tax), 2)), '—') AS amount FROM po_line WHERE supplier_code IS NOT NULL GROUP BY supplier_code""",
@@ -218,4 +236,4 @@ SQL = {
       SELECT row_id, coalesce(nullif(trim(mat_code), ''), '第1项') AS name, CAST(q AS DOUBLE) AS qty, CAST(p AS DOUBLE) AS price, CAST(t AS DOUBLE) AS amount FROM l WHERE trim(coalesce(mat_code, '')) <> '' OR coalesce(q, p, t) IS NOT NULL""",
     # Which sheets misstate their total follows from a checksum that DuckDB lacks, so this one is tested on a fixture.
 }
-QUERIES = {f.__name__: f for f in (wide_spreads, frequent_materials, numbered_lines, pack_specs, piece_materials, quantity_columns, id_chunks, last_year_lines, component_prices, company_names, masked_spend, text_price_stats, mixed_quotes, quote_items, sheet_findings)}
+QUERIES = {f.__name__: f for f in (wide_spreads, frequent_materials, numbered_lines, pack_specs, piece_materials, quantity_columns, id_chunks, last_year_lines, component_prices, unreadable_prices, sole_source_spend, company_names, masked_spend, text_price_stats, mixed_quotes, quote_items, sheet_findings)}

@@ -120,3 +120,13 @@ def test_sheet_findings(spark, tmp_path):
         if zlib.crc32(sheet.encode()) % 3 == 0 and all(r[3] is not None for r in lines):
             want.append((sheet, 3 + len(lines), "total of opening"))
     assert got == sorted(want) and len(want) > 5
+
+
+def test_blank_or_unparseable(spark):
+    from plumbline.functions.numbers import parse_number
+    from plumbline.functions.text import is_unfilled
+    from plumbline.operators.checks import unreadable_cells
+
+    df = spark.createDataFrame([("a", "1,5", None), ("b", "面议", "x"), ("c", " ", "3天"), ("d", "¥2", "4")], "code string, p string, q string").withColumns({"cell": F.lit(1), "state": F.lit(2)})
+    got = {tuple(r) for r in unreadable_cells(df, row="code", columns=["p", "q"], blank=is_unfilled, number=parse_number).collect()}
+    assert got == {("a", "q", "blank"), ("b", "p", "blank"), ("b", "q", "unparseable"), ("c", "p", "blank"), ("c", "q", "unparseable")}
