@@ -120,3 +120,22 @@ def test_hot_vertex_is_spread(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sum(sizes) == 3000 and max(sizes) < 1200 and joined.where("c <> a * 2").count() == 0
+
+
+def test_codes_by_the_rules_alone(spark, tmp_path, monkeypatch):
+    """p7_found learns no precedence, as its codes cannot depend on one; it gives the codes of ``surviving``, also where learned edges close a circle."""
+    from plumbline.llm import queries
+
+    rnd = random.Random(7)
+    rows = [(f"c{rnd.randint(0, 59):02d}", rnd.choice(["eng", "mdm_01", "x", None]), rnd.choice("123"), rnd.choice("PQRS"), rnd.choice("78"), rnd.choice([None, "", *(f"2024-01-{d:02d}" for d in range(1, 7))])) for _ in range(300)]
+    # One code with two values of one day: Q follows P, R follows Q, P follows R elsewhere.
+    rows += [(f"{a}{d}", "eng", "1", v, "7", f"2024-01-{d:02d}") for a, vs in (("e", "PQ"), ("f", "QR"), ("h", "RP")) for d, v in enumerate(vs, 1)] + [("z", "eng", "1", v, "7", "2024-02-01") for v in "PQR"]
+    members = [(rnd.randint(0, 15), f"c{i:02d}") for i in range(60)] + [(20 + i, f"{a}{d}") for i, a in enumerate("efh") for d in (1, 2)] + [(30, "z"), (30, "e1")]
+    tables = {"material": (rows, MATERIAL), "dup_member": (members, "dup_group long, code string"), "creator_ref": ([("mdm_01", 1), ("eng", 2)], "creator string, trust_rank int")}
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    want = {(r.g, r.field, r.code) for r in survivors.surviving(queries._claims(spark, str(tmp_path))).collect()}
+    assert (30, "manufacturer", "z") in want and len(want) > 60
+    monkeypatch.delattr(survivors, "precedence")
+    got = queries.p7_found(spark, str(tmp_path))
+    assert got.count() == len(want) and {tuple(r) for r in got.collect()} == want
